@@ -37,9 +37,14 @@ def median_of_rest(block: Column) -> Column:
 
 def bits(block: Column) -> Column:
     """64 bits, the first entry's at the top: 1 where an entry is above the median of the others."""
-    top = median_of_rest(block)
-    marks = F.transform(block, lambda x, i: F.when(x > top, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda p, x: F.shiftleft(p, 1).bitwiseOR(x))
+    # the struct is made once a block, so the median is not taken again for every entry
+    held = F.array(F.struct(median_of_rest(block).alias("top"), block.alias("block")))
+
+    def word(h: Column) -> Column:
+        marks = F.transform(h["block"], lambda x: F.when(x > h["top"], F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+        return F.aggregate(marks, F.lit(0).cast("bigint"), lambda p, x: F.shiftleft(p, 1).bitwiseOR(x))
+
+    return F.transform(held, word)[0]
 
 
 def hashes(block: Column | str) -> Column:

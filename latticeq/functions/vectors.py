@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -44,7 +45,7 @@ def token_mean(v: Column | str, prefix: int = 0) -> Column:
     return F.aggregate(rest, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(rest)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def half_precision(v: pd.Series) -> pd.Series:
     """Round every entry through a 16-bit float, as a compact index stores it."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .training import portable_draw
 
 #: The color families, in order, and those that training never sees.
-TRAIN_FAMILIES = ("palette_random", "palette_shuffle", "palette_transfer", "hsv_shift", "channel_shuffle", "gray")
-HELD_OUT_FAMILIES = ("channel_curves", "reinhard")
+TRAIN_FAMILIES = ("palette_random", "palette_permute", "palette_transfer", "hsv", "channel", "gray")
+HELD_OUT_FAMILIES = ("curves", "reinhard")
 FAMILIES = TRAIN_FAMILIES + HELD_OUT_FAMILIES
 #: How often training takes each family, identity first.
-FAMILY_WEIGHTS = (("identity", 0.08), ("palette_random", 0.25), ("palette_shuffle", 0.12), ("palette_transfer", 0.30), ("hsv_shift", 0.12), ("channel_shuffle", 0.08), ("gray", 0.05))
+FAMILY_WEIGHTS = (("identity", 0.08), ("palette_random", 0.25), ("palette_permute", 0.12), ("palette_transfer", 0.30), ("hsv", 0.12), ("channel", 0.08), ("gray", 0.05))
 SHARED_ROUNDS = 3
 PAIRS_PER_DESIGN = 2
 SCHEMA = "spec_id bigint, op string, role string, label bigint, family string, donor_label bigint, seed bigint, strict boolean, round int, pal_seed bigint, aug boolean"

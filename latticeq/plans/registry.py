@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalog, imaging, pixels, retrieval
+
+QUERIES = {**catalog.QUERIES, **retrieval.QUERIES, **pixels.QUERIES, **imaging.QUERIES}
+ORACLE_SQL = {**catalog.ORACLE_SQL, **retrieval.ORACLE_SQL, **pixels.ORACLE_SQL}
