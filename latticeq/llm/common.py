@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-SLICE_ROWS = 128
+from ..checkpoints import checkpoint_root, cut
 
+__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "in_slices", "shared_path"]
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="latticeq-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+SLICE_ROWS = 128
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -28,12 +20,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage; survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores put before it until no column in ``taken`` has that name (ignoring case)."""
     lower = {c.lower() for c in taken}

@@ -23,6 +23,7 @@ an empty table.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_rows, cut, free_name
-from .graph import components
+from ..operators.graph import components
+from .common import arrow_rows, cut, free_name, in_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -44,23 +45,32 @@ LIST_MOST = 64
 CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the text's word shingles, as an unsigned integer."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased text's word shingles, repeats included, in blocks; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
     if not words:
-        return 0
+        return
     n = max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         some = words[at : at + CHUNK + width - 1]
         shingles = map(" ".join, zip(*(some[k:] for k in range(width)))) if len(words) >= width else [" ".join(words)]
-        h = np.fromiter(map(xxh64_intdigest, (s.encode("utf-8", "surrogatepass") for s in shingles), repeat(SEED)), "<u8")
+        yield np.fromiter(map(xxh64_intdigest, (s.encode("utf-8", "surrogatepass") for s in shingles), repeat(SEED)), "<u8")
+
+
+def _majority(blocks: list[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), sum(map(len, blocks))
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the text's word shingles, as an unsigned integer: a bit is set if it is in over half the hashes."""
+    return _majority(list(shingle_hashes(text, width)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint's bits as a signed 64-bit integer, of each row of ``docs``."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -122,12 +132,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+POSITIONS, BAND = 64, 4
+SIMILARITY, SIMILAR_WIDTH = 0.8, 5
+ROUNDS = 2
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
+
+
+def least_values(h: np.ndarray) -> np.ndarray:
+    """For each position, the top half of the least value of the hashes under the position's own permutation."""
+    a, b = _multipliers()
+    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(least, (h[at : at + 2048, None] * a + b).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """``doc_id, copy, fp, bands, grams``: hash of the lower-cased word sequence, SimHash, keys of the bands of least
+    values, and the sorted distinct shingle hashes (32 bits each)."""
+    from xxhash import xxh64_intdigest
+
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("grams", pa.binary())])
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    def work(ids, texts):
+        out: list[list] = [ids, [], [], [], []]
+        for t in texts:
+            blocks = list(shingle_hashes(t, width))
+            h = np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
+            values = least_values(h).reshape(-1, BAND)
+            out[1].append(signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)))
+            out[2].append(signed(_majority(blocks)))
+            out[3].append([signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(values)])
+            out[4].append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+        return out
+
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "doc_id bigint, copy bigint, fp bigint, bands array<bigint>, grams binary")
+
+
+def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``pairs`` (``a, b`` and more) whose shingle sets have at least that Jaccard similarity."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_slices(batches):
+            ok = []
+            for x, y in zip(piece.column(len(names)).to_pylist(), piece.column(len(names) + 1).to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            kept = piece.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
+
+    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("__ga"))
+    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("__gb"))
+    return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
+
+
+def similar_links(nodes: DataFrame, list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: nodes of at least that similarity. ``nodes``: ``node, fp, bands, grams``, one row a text.
+
+    SimHash alone reaches few of these pairs (at a similarity of 0.8 some five to twelve bits differ), so the same
+    kind of index is kept over positional least values as well: a posting list is a band of four positions, and two
+    of the sixteen bands' lists at least hold a pair of 0.8 with a chance of 0.998, one of them 0.9998. Lists of up
+    to ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's first, and those that are not
+    similar to it meet the first of the rest. Every candidate is verified on the whole shingle sets.
+    """
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    postings = nodes.select("node", F.posexplode("bands").alias("list", "key"))
+    sizes = cut(postings.groupBy("list", "key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"))
+    short = postings.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.sort_array(F.collect_list("node")).alias("n"))
+    in_list = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda y: F.struct(y.alias("a"), x.alias("b")))))
+    pairs = short.select(F.explode(in_list).alias("p")).select("p.a", "p.b")
+    rest = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).where("node <> first").select("list", "key", F.col("node").alias("a"), F.col("first").alias("b")))
+    grams = nodes.select("node", "grams")
+    found = cut(verified(pairs.unionByName(same).unionByName(links(prints, list_most)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), grams, similarity))
+    for k in range(ROUNDS):
+        near = cut(verified(rest.select("a", "b").distinct(), grams, similarity))
+        found = found.unionByName(near)
+        if k == ROUNDS - 1:
+            return found
+        far = rest.join(near, ["a", "b"], "left_anti")
+        first = far.groupBy("list", "key").agg(F.min("a").alias("first"))
+        rest = cut(far.join(first, ["list", "key"]).where("a <> first").select("list", "key", "a", F.col("first").alias("b")))
+    return found
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id``: components of documents whose five-word shingle sets are that similar."""
+    made = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    copies = cut(made.groupBy("copy").agg(F.min("doc_id").alias("node")))
+    nodes = made.join(copies.select("node", F.col("copy").alias("__c")), (F.col("doc_id") == F.col("node")) & (F.col("copy") == F.col("__c")), "left_semi")
+    nodes = nodes.select(F.col("doc_id").alias("node"), "fp", "bands", "grams").dropDuplicates(["node", "fp"])
+    found = components(similar_links(nodes, similarity=similarity))
+    classes = copies.join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id"))
+    return made.select("doc_id", "copy").join(classes, "copy").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest doc_id; same columns.
+    """``docs`` with one row of each component of similar documents, that of its smallest doc_id; same columns.
 
     Of rows that repeat that doc_id, the one whose text has the least hash stays. Rows without a doc_id all stay.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    keep = similar_documents(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     rank = free_name(docs.columns, "rank")
     named = docs.where(F.col(id_col).isNotNull())
     first = named.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string")))))
