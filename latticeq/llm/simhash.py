@@ -23,7 +23,7 @@ an empty table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -151,29 +151,42 @@ def least_values(h: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """``doc_id, copy, fp, bands, grams``: hash of the lower-cased word sequence, SimHash, keys of the bands of least
-    values, and the sorted distinct shingle hashes (32 bits each)."""
+    """``doc_id, copy, fp, bands``: hash of the lower-cased word sequence, SimHash, keys of the bands of least values."""
     from xxhash import xxh64_intdigest
 
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("grams", pa.binary())])
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def work(ids, texts):
-        out: list[list] = [ids, [], [], [], []]
+        out: list[list] = [ids, [], [], []]
         for t in texts:
             blocks = list(shingle_hashes(t, width))
             h = np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
             values = least_values(h).reshape(-1, BAND)
-            out[1].append(signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)))
-            out[2].append(signed(_majority(blocks)))
-            out[3].append([signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(values)])
-            out[4].append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
+            out[1].append(_signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)))
+            out[2].append(_signed(_majority(blocks)))
+            out[3].append([_signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(values)])
         return out
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "doc_id bigint, copy bigint, fp bigint, bands array<bigint>, grams binary")
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "doc_id bigint, copy bigint, fp bigint, bands array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """``node, copy, grams``: the sorted distinct shingle hashes (32 bits each) of whole texts."""
+    from xxhash import xxh64_intdigest
+
+    schema = pa.schema([("node", pa.int64()), ("copy", pa.int64()), ("grams", pa.binary())])
+
+    def work(ids, texts):
+        found = [list(shingle_hashes(t, width)) for t in texts]
+        grams = [np.unique(np.concatenate([b >> np.uint64(32) for b in blocks])).astype("<u4").tobytes() if blocks else bytes(4) for blocks in found]
+        return [ids, [_signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)) for blocks in found], grams]
+
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, copy bigint, grams binary")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -197,14 +210,15 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
 
 
-def similar_links(nodes: DataFrame, list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: nodes of at least that similarity. ``nodes``: ``node, fp, bands, grams``, one row a text.
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: nodes of at least that similarity. ``nodes``: ``node, fp, bands``, one row a text.
 
     SimHash alone reaches few of these pairs (at a similarity of 0.8 some five to twelve bits differ), so the same
-    kind of index is kept over positional least values as well: a posting list is a band of four positions, and two
-    of the sixteen bands' lists at least hold a pair of 0.8 with a chance of 0.998, one of them 0.9998. Lists of up
-    to ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's first, and those that are not
-    similar to it meet the first of the rest. Every candidate is verified on the whole shingle sets.
+    kind of index is kept over positional least values as well: a posting list is a band of four positions, and one
+    of the sixteen bands' lists at least holds a pair of similarity 0.8 with a chance of 0.9998. Lists of up to
+    ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's first, and those that are not
+    similar to it meet the first of the rest. Every candidate is verified on whole shingle sets, which ``sets_of``
+    makes for the candidates' nodes only.
     """
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
     same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
@@ -213,14 +227,16 @@ def similar_links(nodes: DataFrame, list_most: int = LIST_MOST, similarity: floa
     short = postings.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.sort_array(F.collect_list("node")).alias("n"))
     in_list = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda y: F.struct(y.alias("a"), x.alias("b")))))
     pairs = short.select(F.explode(in_list).alias("p")).select("p.a", "p.b")
+    pairs = cut(pairs.unionByName(same).unionByName(links(prints, list_most)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     rest = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).where("node <> first").select("list", "key", F.col("node").alias("a"), F.col("first").alias("b")))
-    grams = nodes.select("node", "grams")
-    found = cut(verified(pairs.unionByName(same).unionByName(links(prints, list_most)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), grams, similarity))
+    ends = [x.select(F.col(c).alias("node")) for x in (pairs, rest) for c in "ab"]
+    sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()))
+    found = cut(verified(pairs, sets, similarity))
     for k in range(ROUNDS):
-        near = cut(verified(rest.select("a", "b").distinct(), grams, similarity))
+        near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
         found = found.unionByName(near)
         if k == ROUNDS - 1:
-            return found
+            break
         far = rest.join(near, ["a", "b"], "left_anti")
         first = far.groupBy("list", "key").agg(F.min("a").alias("first"))
         rest = cut(far.join(first, ["list", "key"]).where("a <> first").select("list", "key", "a", F.col("first").alias("b")))
@@ -229,11 +245,18 @@ def similar_links(nodes: DataFrame, list_most: int = LIST_MOST, similarity: floa
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id``: components of documents whose five-word shingle sets are that similar."""
-    made = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    docs = docs.where(F.col(id_col).isNotNull())
+    made = cut(sketches(docs, id_col, text_col))
     copies = cut(made.groupBy("copy").agg(F.min("doc_id").alias("node")))
-    nodes = made.join(copies.select("node", F.col("copy").alias("__c")), (F.col("doc_id") == F.col("node")) & (F.col("copy") == F.col("__c")), "left_semi")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "fp", "bands", "grams").dropDuplicates(["node", "fp"])
-    found = components(similar_links(nodes, similarity=similarity))
+    own = copies.select(F.col("node").alias("__n"), F.col("copy").alias("__c"))
+    nodes = cut(made.join(own, (F.col("doc_id") == F.col("__n")) & (F.col("copy") == F.col("__c")), "left_semi").select(F.col("doc_id").alias("node"), "fp", "bands").dropDuplicates(["node", "fp"]))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = docs.join(some.select(F.col("node").alias("__n")), F.col(id_col) == F.col("__n"), "left_semi")
+        sets = shingle_sets(texts, id_col, text_col).join(own, (F.col("node") == F.col("__n")) & (F.col("copy") == F.col("__c")), "left_semi")
+        return sets.select("node", "grams").dropDuplicates(["node"])
+
+    found = components(similar_links(nodes, sets_of, similarity=similarity))
     classes = copies.join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "copy").join(classes, "copy").select("doc_id", "component_id")
 
