@@ -162,3 +162,29 @@ def keep_clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_char
             yield pa.RecordBatch.from_arrays(columns, schema=piece.schema).filter(pa.array([x["kept"] for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ws AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+wi AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM ws WHERE len(w) > 2)),
+wc AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM wi),
+rp AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM wc WHERE n > 1) GROUP BY r),
+ln AS (SELECT r, k, parts[k] AS line FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS parts FROM d))),
+lw AS (SELECT r, k, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY r, line ORDER BY k) AS seen FROM ln),
+lf AS (SELECT r, k, line, w, seen, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars,
+  len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&!|<>~^=]{{2,}}'))) AS noisy,
+  len(list_filter(w, lambda x: list_contains(['|', '»', '«', '›', '·', '•', '/', '>', '::'], x))) AS marks FROM lw),
+mx AS (SELECT r, k, max(c) AS most FROM (SELECT r, k, x, count(*) AS c FROM (SELECT r, k, unnest(w) AS x FROM lw) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ft AS (SELECT lf.r, chars, n > 0 AND seen > 1 AS dup, n > 0 AND (seen > 1 OR noisy > 0.3 * n OR (marks >= 2 AND marks > 0.15 * n)
+  OR (n >= 5 AND upper(line) = line AND lower(line) <> line) OR (n >= 10 AND len(list_distinct(w)) <= 0.5 * n AND most > 0.5 * n)
+  OR (n <= 30 AND regexp_matches(line, '(?i){BOILERPLATE.pattern}'))) AS fault
+  FROM lf LEFT JOIN mx ON lf.r = mx.r AND lf.k = mx.k),
+pl AS (SELECT r, count(*) FILTER (dup) AS n_dup, coalesce(sum(chars) FILTER (fault), 0) AS lost FROM ft GROUP BY r),
+m AS (SELECT d.r, d.doc_id, len(ws.w) AS n, coalesce(list_sum(list_transform(ws.w, lambda x: length(x))), 0) AS chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS sym, n_dup, coalesce(n_repeat, 0) AS rep, lost
+  FROM d JOIN ws USING (r) JOIN pl USING (r) LEFT JOIN rp USING (r)),
+f AS (SELECT *, n < 50 OR 100 * rep > 50 * n AS failed FROM m)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, sym::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
+  NOT failed AND lost <= 0.5 * chars AS kept FROM f
+"""

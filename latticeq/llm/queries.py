@@ -23,4 +23,4 @@ QUERIES: dict[str, Query] = {
     "op10_media": media.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.OP3_SQL, "op6_warc": warc.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.OP3_SQL, "op6_warc": warc.OP6_SQL, "op8_quality_rules": quality_rules.OP8_SQL}
