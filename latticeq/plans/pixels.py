@@ -190,14 +190,14 @@ def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LAB_SQL + """
 , pa AS (SELECT id, list(struct_pack(l := round(ll, 6), a := round(la, 6), b := round(lb, 6)) ORDER BY round(ll, 6), round(la, 6), round(lb, 6)) AS p FROM lab WHERE k < 6 GROUP BY id)
-SELECT id, n::BIGINT AS n, i::BIGINT AS i, round(p[round_even(i * 5e0 / greatest(n - 1, 1), 0)::INT + 1].l, 4) + 0e0 AS l FROM pa, (VALUES (1), (3), (4), (6)) v(n), range(6) t(i) WHERE i < n
+SELECT id, n::BIGINT AS n, i::BIGINT AS i, p[round_even(i * 5e0 / greatest(n - 1, 1), 0)::INT + 1].l + 0e0 AS l FROM pa, (VALUES (1), (3), (4), (6)) v(n), range(6) t(i) WHERE i < n
 """)
 def fit_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Palettes of six colors brought to other sizes by evenly spaced ranks."""
     color_of = F.struct(*(F.round(x, 6).alias(n) for x, n in zip(LAB, "lab")))
     p = lab(spark, sf_dir).where("k < 6").groupBy("id").agg(F.collect_list(color_of).alias("p")).withColumn("n", F.explode(F.array(*(F.lit(n) for n in (1, 3, 4, 6)))))
     q = p.select("id", "n", F.posexplode(color.fit_palette(F.col("p"), F.col("n"))).alias("i", "c"))
-    return q.select("id", F.col("n").cast("bigint").alias("n"), F.col("i").cast("bigint").alias("i"), rounded(F.col("c.l"), 4).alias("l"))
+    return q.select("id", F.col("n").cast("bigint").alias("n"), F.col("i").cast("bigint").alias("i"), rounded(F.col("c.l")).alias("l"))
 
 
 DIST_SQL = LAB_SQL + """

@@ -35,7 +35,7 @@ def decode(spark: SparkSession, *roots: str) -> DataFrame:
     """``path, height, width, channels, pixels`` by the built-in image reader; undecodable files have height -1."""
     frames = [spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(r) for r in roots]
     i = reduce(DataFrame.unionByName, frames).select("image.*")
-    return i.where(ingest.suffix(F.col("origin")).isin(*SUFFIXES)).select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
+    return i.where(ingest.suffix(F.col("origin")).isin(*SUFFIXES)).select(F.regexp_replace("origin", "^([a-z]+):///", "$1:/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
 
 
 def pixels(row: dict) -> np.ndarray:
