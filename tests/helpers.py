@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMALL = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def oracle(sql, sf_dir=SMALL):
 
 def rows_of(frame):
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.9g}" if isinstance(v, (float, np.floating)) else str(v)
 
