@@ -104,6 +104,8 @@ class TreeBPE:
         if len(data) <= LEAF_BYTES:
             return self.direct(data)
         half = len(data) // 2
+        if half > 128:
+            half -= half % 64  # runs of one character then fall into whole tokens on both sides
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
     def encode_piece(self, data: bytes) -> list[int]:
