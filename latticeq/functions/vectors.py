@@ -45,6 +45,17 @@ def token_mean(v: Column | str, prefix: int = 0) -> Column:
     return F.aggregate(rest, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(rest)
 
 
+def linear_head(v: Column | str, weights: list[list[float]], bias: list[float], mean: list[float] | None = None, var: list[float] | None = None, scale: list[float] | None = None, shift: list[float] | None = None, eps: float = 1e-5) -> Column:
+    """A linear layer and, where ``mean`` is given, batch normalisation with stored statistics."""
+    out = []
+    for k, (w, b) in enumerate(zip(weights, bias)):
+        y = dot(v, F.array(*(F.lit(float(x)) for x in w))) + float(b)
+        if mean is not None:
+            y = (y - mean[k]) / F.sqrt(F.lit(var[k] + eps)) * (scale[k] if scale else 1.0) + (shift[k] if shift else 0.0)
+        out.append(y)
+    return F.array(*out)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def half_precision(v: pd.Series) -> pd.Series:
     """Round every entry through a 16-bit float, as a compact index stores it."""

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import images
 from ..functions.vectors import dot
 
 TEMPERATURE = 0.07
@@ -68,3 +73,21 @@ def portable_draw(*parts: Column | str) -> Column:
 
 def portable_uniform(*parts: Column | str) -> Column:
     return portable_draw(*parts) / 4294967296.0
+
+
+def palette_bank(palettes: DataFrame, epoch: int, size: int = 24) -> DataFrame:
+    """``bank_id, palette``: an epoch's targets, the first half drawn from real palettes with replacement, the rest made.
+
+    ``palettes`` has a dense 0-based ``pos`` and a flat ``palette``. The bank has ``size`` rows; none if that is 0.
+    """
+    spark, n = palettes.sparkSession, palettes.count()
+    real = size // 2 if n else 0
+    drawn = spark.range(real).select(F.col("id").alias("bank_id"), (portable_draw(str(10_000 + epoch), "bank", F.col("id")) % max(n, 1)).alias("__pos"))
+    own = drawn.join(palettes.select(F.col("pos").alias("__pos"), "palette"), "__pos").select("bank_id", "palette")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [images.random_palette(6, np.random.default_rng([10_000 + epoch, int(i)])).ravel().tolist() for i in b["bank_id"]]
+            yield pd.DataFrame({"bank_id": b["bank_id"], "palette": found})
+
+    return own.unionByName(spark.range(real, size).select(F.col("id").alias("bank_id")).mapInPandas(made, "bank_id bigint, palette array<double>"))

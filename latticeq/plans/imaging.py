@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint_root
 from ..functions import images, vectors
-from ..operators import specs
+from ..operators import specs, training
 from ..sources import files
 from .catalog import table
 from .retrieval import designs
@@ -114,3 +114,35 @@ def half_precision_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files.read_index(spark, to).select("pos", F.col("embedding").alias("half"))
     gap = F.aggregate(F.zip_with("embedding", "half", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x.cast("double")))
     return rows.join(read, rows["id"] == read["pos"]).select("pos", gap.alias("error"), vectors.dot("half", "half").alias("norm2"))
+
+
+def _palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(_vectors(spark, sf_dir), lambda r: (r["id"], images.palette_of(picture(r["embedding"]), 6, int(r["id"])).ravel().tolist()), "pos bigint, palette array<double>")
+
+
+@query
+def palette_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of one epoch: half from the pictures' own palettes, half at random."""
+    return training.palette_bank(_palettes(spark, sf_dir), 3)
+
+
+@query
+def train_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four training views of each picture: a family by its weight, a target from the bank, a crop, a further photo.
+
+    Views are seeded by epoch, picture and number, so that a rerun gives the same.
+    """
+    epoch, size = 3, 24
+    bank = F.broadcast(training.palette_bank(_palettes(spark, sf_dir), epoch, size))  # as many rows as its size
+    key = [F.col("id"), F.col("view")]
+    rows = training.views(_vectors(spark, sf_dir), 4).withColumn("bank_id", training.portable_draw(str(epoch), "target", *key) % size)
+    rows = rows.withColumn("family", training.weighted_choice(training.portable_uniform(str(epoch), "family", *key), list(specs.FAMILY_WEIGHTS))).withColumn("seed", training.portable_draw(str(epoch), "view", *key))
+
+    def one(r):
+        rng = np.random.default_rng(int(r["seed"]))
+        x = images.random_resized_crop(picture(r["embedding"]), 24, rng)
+        x = images.photo(images.recolor(x, r["family"], rng, np.reshape(r["palette"], (-1, 3))), rng)
+        t = images.to_tensor(x)
+        return r["id"], r["view"], r["family"], t.shape[1], float(t.mean())
+
+    return _mapped(rows.join(bank, "bank_id"), one, "id bigint, view int, family string, side bigint, mean double")

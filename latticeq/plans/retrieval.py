@@ -366,6 +366,17 @@ def patch_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), rounded(vectors.token_mean("embedding", 1)).alias("mean"))
 
 
+@query(VEC_SQL + """
+, y AS (SELECT id, list_reduce(list_transform(range(1, 65), lambda i: v[i] * ((i % 7) - 3) / 10e0), lambda p, q: p + q) + 0.5e0 AS a, list_reduce(list_transform(range(1, 65), lambda i: v[i] * ((i % 5) - 2) / 10e0), lambda p, q: p + q) - 0.25e0 AS b FROM v)
+SELECT id, round((a - 0.1e0) / sqrt(0.04001e0), 5) + 0e0 AS y1, round((b - 0.2e0) / sqrt(0.09001e0), 5) + 0e0 AS y2 FROM y
+""")
+def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outputs of a linear layer with batch normalisation."""
+    weights = [[((i % m) - m // 2) / 10 for i in range(1, 65)] for m in (7, 5)]
+    y = vectors.linear_head("embedding", weights, [0.5, -0.25], [0.1, 0.2], [0.04, 0.09])
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), y.alias("y")).select("id", rounded(F.col("y")[0], 5).alias("y1"), rounded(F.col("y")[1], 5).alias("y2"))
+
+
 def draw_sql(*parts: str) -> str:
     return f"('0x' || substr(md5({" || '-' || ".join(parts)}), 1, 8))::BIGINT"
 
