@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, in_slices
+from .common import cut, free_name, in_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -145,18 +145,20 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` (with ``doc_id``, ``piece`` and ``length``; other columns are carried) plus ``sequence_id`` and ``offset``.
 
+    Columns that have these names already stay, the new ones then get an underscore before theirs.
     A group's rows are held by one task: at most about ``group_pieces`` of them, so carry no long columns.
     """
     n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-tokens // group_tokens), -(-n // group_pieces))
     names = [f.name for f in pieces.schema.fields]
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    sequence, offset = free_name(names, "sequence_id"), free_name(names, "offset")
+    schema = StructType([*pieces.schema.fields, StructField(sequence, LongType()), StructField(offset, LongType())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = table.append_column("__row", pa.array(np.arange(table.num_rows))).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = sum_of_squares(order.column("length").to_numpy(), capacity)
         group = key[0].as_py()
-        return order.select(names).append_column("sequence_id", pa.array((np.int64(group) << 40) + bins)).append_column("offset", pa.array(offsets))
+        return order.select(names).append_column(sequence, pa.array((np.int64(group) << 40) + bins)).append_column(offset, pa.array(offsets))
 
     group = F.pmod(F.xxhash64(F.lit(7), "doc_id", "piece"), F.lit(groups))
     return pieces.groupBy(group.alias("__group")).applyInArrow(run, schema)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 MOST_BLOCKS = 4096
 BLOCK_ROWS = 4096
@@ -37,28 +37,20 @@ def hypergeometric(colors: list[int], draws: int, rng: np.random.Generator) -> l
 
 
 def draw_one(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
-    """Hypergeometric draw; numpy's own up to its limit, beyond that draws are split into exact parts."""
+    """One hypergeometric draw: numpy's up to its limit of 1e9 items, beyond it by inversion around the mode."""
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
     if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
-    got = 0
-    while draws:
-        if not good or not bad:
-            return got + (draws if good else 0)
-        # A uniformly random subset of 5e8 rows is itself hypergeometric in its make-up; draw in steps small against it.
-        step = min(draws, 100_000)
-        k = int(np.sum(rng.random(step) * (good + bad) < good)) if step == 1 else _urn(good, bad, step, rng)
-        got, good, bad, draws = got + k, good - k, bad - (step - k), draws - step
-    return got
-
-
-def _urn(good: int, bad: int, step: int, rng: np.random.Generator) -> int:
-    k = 0
-    for u in rng.random(step):
-        if u * (good + bad) < good:
-            k, good = k + 1, good - 1
-        else:
-            bad -= 1
-    return k
+        return int(rng.hypergeometric(good, bad, draws))
+    n = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    wide = int(14 * np.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1)))) + 40  # what is outside weighs under 1e-40
+    k = np.arange(max(low, mode - wide), min(high, mode + wide) + 1, dtype=np.float64)
+    step = np.log((good - k[:-1]) * (draws - k[:-1])) - np.log((k[:-1] + 1) * (bad - draws + k[:-1] + 1))
+    weight = np.concatenate(([0.0], np.cumsum(step)))
+    total = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[min(np.searchsorted(total, rng.random() * total[-1], side="right"), len(k) - 1)])
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
@@ -75,8 +67,12 @@ def _key(seed: int, salt: int, cols: list[Column]) -> Column:
 
 
 def shuffle_into_shards(rows: DataFrame, shards: int = 24, seed: int = 42, identity: list[str] | None = None, blocks: int | None = None) -> DataFrame:
-    """``rows`` plus ``shard`` and ``slot`` (gapless from 0 in each shard). ``identity``: the columns that tell rows apart."""
+    """``rows`` plus ``shard`` and ``slot`` (gapless from 0 in each shard). ``identity``: the columns that tell rows apart.
+
+    If ``rows`` has columns of these names already, the new ones get an underscore before theirs.
+    """
     spark = rows.sparkSession
+    shard, slot = (free_name(rows.columns, c) for c in ("shard", "slot"))
     cols = [F.col(f"`{c}`") for c in identity or rows.columns]
     rows = cut(rows)
     n = rows.count()
@@ -89,13 +85,13 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 24, seed: int = 42, ident
     bounds = [(b, np.cumsum(r).tolist()) for b, r in enumerate(matrix)]
     table = spark.createDataFrame(bounds, "__b int, __bounds array<bigint>")
     local = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__block").orderBy("__k", *cols)))
-    dealt = local.join(F.broadcast(table), F.col("__block") == F.col("__b")).withColumn("shard", F.size(F.filter("__bounds", lambda x: x < F.col("__r"))))
+    dealt = local.join(F.broadcast(table), F.col("__block") == F.col("__b")).withColumn(shard, F.size(F.filter("__bounds", lambda x: x < F.col("__r"))))
     last = _key(seed, 3, cols)
-    dealt = cut(dealt.select(*rows.columns, "shard", last.alias("__k"), F.shiftrightunsigned(last, 58).cast("int").alias("__part")))
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "__part").agg(F.count("*").alias("n")).select("shard", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__k", *cols))
-    return dealt.withColumn("__i", inside).join(F.broadcast(starts), ["shard", "__part"]).select(*rows.columns, "shard", (F.col("__start") + F.col("__i") - 1).alias("slot"))
+    dealt = cut(dealt.select(*rows.columns, shard, last.alias("__k"), F.shiftrightunsigned(last, 58).cast("int").alias("__part")))
+    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(shard, "__part").agg(F.count("*").alias("n")).select(shard, "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(shard, "__part").orderBy("__k", *cols))
+    return dealt.withColumn("__i", inside).join(F.broadcast(starts), [shard, "__part"]).select(*rows.columns, shard, (F.col("__start") + F.col("__i") - 1).alias(slot))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,17 @@ def test_matrix_law():
     got = collections.Counter(sharding.communication_matrix([2, 2], [2, 2], s)[0][0] for s in range(6000))
     assert abs(got[1] / 6000 - 4 / 6) < 0.03 and abs(got[0] / 6000 - 1 / 6) < 0.03
     rng = np.random.default_rng(0)
+    from math import lgamma
+
+    def log_p(k, good=600_000_000, bad=500_000_000, draws=7):
+        def choose(a, b):
+            return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+
+        return choose(good, k) + choose(bad, draws - k) - choose(good + bad, draws)
+
+    seen = collections.Counter(sharding.draw_one(600_000_000, 500_000_000, 7, rng) for _ in range(20_000))
+    assert all(abs(seen[k] / 20_000 - np.exp(log_p(k))) < 0.02 for k in range(8))
+    assert sharding.draw_one(5, 2 * 10**9, 2 * 10**9 + 5, rng) == 5 and sharding.draw_one(2 * 10**9, 0, 7, rng) == 7
     big = [sharding.draw_one(3 * 10**9, 10**9, 4000, rng) for _ in range(50)]
     assert abs(np.mean(big) - 3000) < 30 and all(0 <= x <= 4000 for x in big)
 
@@ -255,6 +266,8 @@ def test_shards(spark, odd):
     more = sharding.shuffle_into_shards(odd.unionByName(odd).selectExpr("*", "doc_id AS size"), 5, blocks=3).toPandas()
     assert len(more) == 2 * len(EDGE) and all(sorted(g.slot) == list(range(len(g))) for _, g in more.groupby("shard"))
     assert sharding.sharded_digest(odd.where("false")).count() == 0
+    clash = sharding.shuffle_into_shards(odd.selectExpr("doc_id", "1 AS shard", "2 AS slot"), 3)
+    assert clash.columns == ["doc_id", "shard", "slot", "_shard", "_slot"] and clash.count() == len(EDGE)
 
 
 # ---- archives

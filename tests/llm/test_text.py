@@ -196,6 +196,8 @@ def test_packing_table(spark, odd):
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1].tolist()]
     assert packing.packed_digest(odd.where("false")).count() == 0
+    clash = packing.pack(spark.createDataFrame([(1, 0, 5, "x"), (2, 0, 7, "y")], "doc_id bigint, piece int, length bigint, offset string"))
+    assert clash.columns[-2:] == ["sequence_id", "_offset"] and clash.count() == 2
 
 
 def test_packing_is_near_the_bound(spark):
