@@ -35,8 +35,7 @@ from pyspark.sql import Window
 from ..operators.graph import components
 from .common import arrow_rows, cut, free_name, in_slices
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 MOST_BITS = 2
 BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
@@ -49,14 +48,14 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
     """XXH64 of the lower-cased text's word shingles, repeats included, in blocks; none for a text without words."""
     from xxhash import xxh64_intdigest
 
-    words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())  # on bytes, A-Z alone change
     if not words:
         return
     n = max(1, len(words) - width + 1)
     for at in range(0, n, CHUNK):
         some = words[at : at + CHUNK + width - 1]
-        shingles = map(" ".join, zip(*(some[k:] for k in range(width)))) if len(words) >= width else [" ".join(words)]
-        yield np.fromiter(map(xxh64_intdigest, (s.encode("utf-8", "surrogatepass") for s in shingles), repeat(SEED)), "<u8")
+        shingles = map(b" ".join, zip(*(some[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+        yield np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8")
 
 
 def _majority(blocks: list[np.ndarray]) -> int:
