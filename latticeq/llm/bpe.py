@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_rows
 
 LEAF_BYTES = 24
+NO_RANK = 1 << 60
 CACHE_PIECES = 800_000
 CHUNK_PIECES = 200_000
 
@@ -47,16 +48,16 @@ class TreeBPE:
         """BPE by its definition: merge the pair of least rank, leftmost first, until none is left."""
         if len(data) > 2 * LEAF_BYTES:
             return self._by_heap(data)
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        order = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while order and (best := min(order)) != NO_RANK:
+            at = order.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = rank(parts[at - 1] + parts[at], NO_RANK)
+            if at < len(order):
+                order[at] = rank(parts[at] + parts[at + 1], NO_RANK)
         return parts
 
     def _by_heap(self, data: bytes) -> list[bytes]:
