@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import importlib
 
-from pyspark.sql import SparkSession
+
 
 from .operators.matcher import CatalogMatcher, thumbnail_embedder
 from .plans import registry
+from .session import builder
 from .sources import files
 
 
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("name", choices=sorted(registry.QUERIES))
     a.add_argument("--data", required=True)
     args = p.parse_args(argv)
-    spark = SparkSession.builder.appName("latticeq").getOrCreate()
+    spark = builder().getOrCreate()
     if args.command == "prepare":
         manifest, counts = files.prepare(spark, args.roots, hash_most=args.hash_most, seed=args.seed)
         files.write_manifest(manifest, f"{args.out}/manifest")

@@ -1,7 +1,7 @@
 """Retrieval over embedding vectors: scores, top-k, per-label maximum and identification metrics.
 
-A gallery that is small enough (its size is checked) is broadcast; a larger one is dealt into blocks that meet
-every query once, and only each block's best rows of a query go on. Exact either way.
+The side that is small enough is broadcast (both sizes are checked, the gallery's first); if neither is, the gallery
+is dealt into blocks that meet every query once. Exact either way.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ def scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
 
     ``queries`` has ``q, q_label, q_vec`` (and more, which is carried), ``gallery`` has ``g, g_label, g_vec``.
     """
-    n = gallery.limit(BROADCAST_ROWS + 1).count()
     carried = [c for c in queries.columns if c != "q_vec"]
-    if n <= BROADCAST_ROWS:
+    if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = queries.crossJoin(F.broadcast(gallery))
+    elif queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = gallery.crossJoin(F.broadcast(queries))
     else:
         blocks = -(-gallery.count() // BLOCK_ROWS)
         met = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(gallery.withColumn("__b", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "__b")
