@@ -133,7 +133,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 POSITIONS, BAND = 64, 4
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
-ROUNDS = 2
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -209,36 +208,47 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
 
 
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """``list, key, a, rank, b``: members of long lists and their list's leader, the one of least ``rank``.
+
+    A text that others are changed copies of keeps the common key in more bands than they do, so it leads, and its
+    copies meet it even where they are too far from each other.
+    """
+    first = members.groupBy("list", "key").agg(F.min_by("a", F.struct("rank", "a")).alias("b"))
+    return cut(members.join(first, ["list", "key"]).where("a <> b").select("list", "key", "a", "rank", "b"))
+
+
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: nodes of at least that similarity. ``nodes``: ``node, fp, bands``, one row a text.
 
     SimHash alone reaches few of these pairs (at a similarity of 0.8 some five to twelve bits differ), so the same
     kind of index is kept over positional least values as well: a posting list is a band of four positions, and one
     of the sixteen bands' lists at least holds a pair of similarity 0.8 with a chance of 0.9998. Lists of up to
-    ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's first, and those that are not
-    similar to it meet the first of the rest. Every candidate is verified on whole shingle sets, which ``sets_of``
+    ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's leader, those that are not
+    similar to it meet the next one, and so on until a round finds no link. Every candidate is verified on whole shingle sets, which ``sets_of``
     makes for the candidates' nodes only.
     """
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
     same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
     postings = nodes.select("node", F.posexplode("bands").alias("list", "key"))
-    sizes = cut(postings.groupBy("list", "key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1"))
+    sizes = cut(postings.groupBy("list", "key").agg(F.count("*").alias("size")).where("size > 1"))
     short = postings.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.sort_array(F.collect_list("node")).alias("n"))
     in_list = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda y: F.struct(y.alias("a"), x.alias("b")))))
     pairs = short.select(F.explode(in_list).alias("p")).select("p.a", "p.b")
     pairs = cut(pairs.unionByName(same).unionByName(links(prints, list_most)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    rest = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).where("node <> first").select("list", "key", F.col("node").alias("a"), F.col("first").alias("b")))
-    ends = [x.select(F.col(c).alias("node")) for x in (pairs, rest) for c in "ab"]
-    sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()))
+    long = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).select("list", "key", F.col("node").alias("a")))
+    central = long.groupBy("a").agg((-F.count("*")).alias("rank"))
+    long = cut(long.join(central, "a"))
+    rest = _with_leaders(long)
+    ends = [x.select(F.col(c).alias("node")) for x, c in ((pairs, "a"), (pairs, "b"), (long, "a"))]
+    sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()))
     found = cut(verified(pairs, sets, similarity))
-    for k in range(ROUNDS):
+    while not rest.isEmpty():
         near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
-        found = found.unionByName(near)
-        if k == ROUNDS - 1:
+        if near.isEmpty():
             break
-        far = rest.join(near, ["a", "b"], "left_anti")
-        first = far.groupBy("list", "key").agg(F.min("a").alias("first"))
-        rest = cut(far.join(first, ["list", "key"]).where("a <> first").select("list", "key", "a", F.col("first").alias("b")))
+        found = found.unionByName(near)
+        rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
     return found
 
 
