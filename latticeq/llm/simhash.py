@@ -243,6 +243,7 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ends = [x.select(F.col(c).alias("node")) for x, c in ((pairs, "a"), (pairs, "b"), (long, "a"))]
     sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()))
     found = cut(verified(pairs, sets, similarity))
+    sets = cut(sets.join(long.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))  # the rounds need no others
     while not rest.isEmpty():
         near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
         if near.isEmpty():
