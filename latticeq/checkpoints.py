@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage; survives lost executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of rounds that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which many short rounds in a row do not wait for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, release
 
 
 def _toward_least(edges: DataFrame) -> DataFrame:
@@ -39,3 +39,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = now
         edges = cut(_small(_toward_least(edges)))
+        release(edges.sparkSession)
