@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from ..checkpoints import checkpoint_root, cut
+from ..checkpoints import checkpoint_root, cut, release
 
-__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "in_slices", "shared_path"]
+__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "in_slices", "release", "shared_path"]
 
 SLICE_ROWS = 128
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..operators.graph import components
-from .common import arrow_rows, cut, free_name, in_slices
+from .common import arrow_rows, cut, free_name, in_slices, release
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -244,12 +244,14 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()))
     found = cut(verified(pairs, sets, similarity))
     sets = cut(sets.join(long.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))  # the rounds need no others
+    release(nodes.sparkSession)
     while not rest.isEmpty():
         near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
         if near.isEmpty():
             break
         found = found.unionByName(near)
         rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
+        release(nodes.sparkSession)
     return found
 
 
