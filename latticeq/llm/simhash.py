@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -132,18 +133,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 POSITIONS, BAND = 64, 4
+WIDE_POSITIONS, WIDE_BAND = 384, 8
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
+@cache
+def _multipliers(positions: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20 if positions == POSITIONS else positions)
+    return rng.integers(1, 1 << 63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, positions, dtype=np.uint64)
 
 
-def least_values(h: np.ndarray) -> np.ndarray:
+def least_values(h: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
     """For each position, the top half of the least value of the hashes under the position's own permutation."""
-    a, b = _multipliers()
-    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    a, b = _multipliers(positions)
+    least = np.full(positions, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[at : at + 2048, None] * a + b).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype("<u4")
@@ -208,14 +211,60 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
 
 
+def wide_bands(sets: DataFrame) -> DataFrame:
+    """``node, bands`` of shingle sets: 48 keys of eight least values each, for the members of long lists."""
+    from xxhash import xxh64_intdigest
+
+    schema = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def work(nodes, sets):
+        values = (least_values(np.frombuffer(g, "<u4").astype(np.uint64), WIDE_POSITIONS).reshape(-1, WIDE_BAND) for g in sets)
+        return [nodes, [[_signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(x)] for x in values]]
+
+    return sets.select("node", "grams").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, bands array<bigint>")
+
+
 def _with_leaders(members: DataFrame) -> DataFrame:
-    """``list, key, a, rank, b``: members of long lists and their list's leader, the one of least ``rank``.
+    """``list, key, a, part, rank, b``: members of long lists and their list's leader, the one of least ``rank``.
 
     A text that others are changed copies of keeps the common key in more bands than they do, so it leads, and its
-    copies meet it even where they are too far from each other.
+    copies meet it even where they are too far from each other. Members of the leader's ``part`` are linked to it.
+    """
+    first = members.groupBy("list", "key").agg(F.min_by(F.struct("a", "part"), F.struct("rank", "a")).alias("lead"))
+    met = members.join(first, ["list", "key"]).where("part <> lead.part")
+    return cut(met.select("list", "key", "a", "part", "rank", F.col("lead.a").alias("b")))
+
+
+def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """``a, b`` links of long lists' members to leaders, round after round until one finds none."""
+    found, rest = None, _with_leaders(members)
+    while not rest.isEmpty():
+        near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
+        if near.isEmpty():
+            break
+        found = near if found is None else found.unionByName(near)
+        rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
+        release(members.sparkSession)
+    return found
+
+
+def _across(found: DataFrame, sets: DataFrame, list_most: int, similarity: float) -> DataFrame:
+    """``a, b`` links between members of long lists that ``found`` does not join yet, by the index of wide bands.
+
+    ``sets`` holds those members. Only lists with members of two components or more are looked into.
     """
-    first = members.groupBy("list", "key").agg(F.min_by("a", F.struct("rank", "a")).alias("b"))
-    return cut(members.join(first, ["list", "key"]).where("a <> b").select("list", "key", "a", "rank", "b"))
+    parts = components(found)
+    wide = wide_bands(sets).join(parts, "node", "left").select(F.col("node").alias("a"), F.coalesce("component", "node").alias("part"), F.posexplode("bands").alias("list", "key"))
+    wide = cut(wide)
+    sizes = cut(wide.groupBy("list", "key").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("list", "key", "size"))
+    member = F.struct("a", "part")
+    short = wide.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.collect_list(member).alias("m"))
+    in_list = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda y: y["part"] != x["part"]), lambda y: F.struct(F.greatest(x["a"], y["a"]).alias("a"), F.least(x["a"], y["a"]).alias("b")))))
+    made = cut(verified(cut(short.select(F.explode(in_list).alias("p")).select("p.a", "p.b").distinct()), sets, similarity))
+    long = wide.join(sizes.where(F.col("size") > list_most), ["list", "key"]).drop("size")
+    central = long.groupBy("a").agg((-F.count("*")).alias("rank"))
+    more = _rounds(cut(long.join(central, "a")), sets, similarity)
+    return made if more is None else made.unionByName(more)
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
@@ -227,6 +276,11 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's leader, those that are not
     similar to it meet the next one, and so on until a round finds no link. Every candidate is verified on whole shingle sets, which ``sets_of``
     makes for the candidates' nodes only.
+
+    A leader's round may end while some members are still apart from each other, so all members of long lists then
+    meet in a third index, of 48 bands of eight other positions: texts that only share a passage seldom agree in
+    eight, and a pair of similarity 0.8 does in one band at least with a chance of 0.9998. There only pairs that
+    are not in one component yet are verified.
     """
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
     same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
@@ -239,23 +293,19 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     long = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).select("list", "key", F.col("node").alias("a")))
     central = long.groupBy("a").agg((-F.count("*")).alias("rank"))
     long = cut(long.join(central, "a"))
-    rest = _with_leaders(long)
     ends = [x.select(F.col(c).alias("node")) for x, c in ((pairs, "a"), (pairs, "b"), (long, "a"))]
     sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()))
     found = cut(verified(pairs, sets, similarity))
-    sets = cut(sets.join(long.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))  # the rounds need no others
+    sets = cut(sets.join(long.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))  # the rest needs no others
     release(nodes.sparkSession)
-    while not rest.isEmpty():
-        near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
-        if near.isEmpty():
-            break
-        found = found.unionByName(near)
-        rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
-        release(nodes.sparkSession)
-    return found
+    if sets.isEmpty():
+        return found
+    near = _rounds(long.withColumn("part", F.col("a")), sets, similarity)
+    found = found if near is None else found.unionByName(near)
+    return found.unionByName(_across(found, sets, list_most, similarity))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, list_most: int = LIST_MOST) -> DataFrame:
     """``doc_id, component_id``: components of documents whose five-word shingle sets are that similar."""
     docs = docs.where(F.col(id_col).isNotNull())
     made = cut(sketches(docs, id_col, text_col))
@@ -268,7 +318,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sets = shingle_sets(texts, id_col, text_col).join(own, (F.col("node") == F.col("__n")) & (F.col("copy") == F.col("__c")), "left_semi")
         return sets.select("node", "grams").dropDuplicates(["node"])
 
-    found = components(similar_links(nodes, sets_of, similarity=similarity))
+    found = components(similar_links(nodes, sets_of, list_most, similarity))
     classes = copies.join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id"))
     return made.select("doc_id", "copy").join(classes, "copy").select("doc_id", "component_id")
 

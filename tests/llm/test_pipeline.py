@@ -1,10 +1,11 @@
 """The pipeline's stages against brute force, and the registered queries."""
 
+import random
 import re
 
 import corpus_pipeline
 
-from latticeq.llm import quality_rules
+from latticeq.llm import quality_rules, simhash
 from latticeq.llm.queries import QUERIES
 
 from ..helpers import SMALL
@@ -39,6 +40,32 @@ def test_stages(spark, tmp_path):
     assert set(packed.doc_id) == set(kept[3]) and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_scattered_copies_among_texts_that_share_a_passage(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)]
+
+    passage = words(172)
+    texts = [passage + words(38) for _ in range(300)]
+    for t in texts[:300:4]:
+        copy = list(t)
+        copy[-4], copy[-12], copy[-20], copy[-29] = words(4)
+        texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = sorted((least[i], least[j]), reverse=True)
+                least = [new if x == old else x for x in least]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for most in (8, simhash.LIST_MOST):
+        found = simhash.similar_documents(docs, list_most=most)
+        assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(least))
+
+
 def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
