@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 POSITIONS, BAND = 64, 4
-WIDE_POSITIONS, WIDE_BAND = 384, 8
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
+FEW_LINKS = 64
+BUCKET_BITS, BLOCK_ROWS, TURN_PAIRS, SLACK = 18, 256, 1 << 16, 1e-6
 
 
 @cache
@@ -211,19 +212,6 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
 
 
-def wide_bands(sets: DataFrame) -> DataFrame:
-    """``node, bands`` of shingle sets: 48 keys of eight least values each, for the members of long lists."""
-    from xxhash import xxh64_intdigest
-
-    schema = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def work(nodes, sets):
-        values = (least_values(np.frombuffer(g, "<u4").astype(np.uint64), WIDE_POSITIONS).reshape(-1, WIDE_BAND) for g in sets)
-        return [nodes, [[_signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(x)] for x in values]]
-
-    return sets.select("node", "grams").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, bands array<bigint>")
-
-
 def _with_leaders(members: DataFrame) -> DataFrame:
     """``list, key, a, part, rank, b``: members of long lists and their list's leader, the one of least ``rank``.
 
@@ -236,35 +224,103 @@ def _with_leaders(members: DataFrame) -> DataFrame:
 
 
 def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """``a, b`` links of long lists' members to leaders, round after round until one finds none."""
+    """``a, b`` links of long lists' members to leaders, round after round while they find many.
+
+    They only spare ``_across`` the pairs of large groups, so their end loses nothing.
+    """
     found, rest = None, _with_leaders(members)
     while not rest.isEmpty():
-        near = cut(verified(rest.select("a", "b").distinct(), sets, similarity))
-        if near.isEmpty():
+        met = cut(rest.select("a", "b").distinct())
+        near = cut(verified(met, sets, similarity))
+        linked = near.count()
+        if linked:
+            found = near if found is None else found.unionByName(near)
+        if linked * FEW_LINKS <= met.count():
             break
-        found = near if found is None else found.unionByName(near)
         rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
         release(members.sparkSession)
     return found
 
 
-def _across(found: DataFrame, sets: DataFrame, list_most: int, similarity: float) -> DataFrame:
-    """``a, b`` links between members of long lists that ``found`` does not join yet, by the index of wide bands.
+def _commonness(sets: DataFrame, sample: int = 2000) -> np.ndarray:
+    """How often shingles of each bucket occur in some of the sets. It makes the order of ``prefixes``, where any serves."""
+    size = sets.count()
 
-    ``sets`` holds those members. Only lists with members of two components or more are looked into.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_slices(batches):
+            seen, n = np.unique(np.frombuffer(b"".join(piece.column(0).to_pylist()), "<u4") >> (32 - BUCKET_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(-(-size // sample))) == 0) if size > sample else sets
+    counts = some.select("grams").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    common = np.zeros(1 << BUCKET_BITS, np.int64)
+    common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return common
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, n, node, part, at, b0 .. b3``: the rarest shingles of each set, which has ``n``, and their places.
+
+    In one order of all shingles two sets of that similarity share one of the first ``n - similarity * n`` (and one
+    more) of each. ``b0`` to ``b3`` are the parities of the set's shingles by their last eight bits.
+    """
+    common = _commonness(sets)
+    names = ["key", "n", "node", "part", "at", "b0", "b1", "b2", "b3"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_slices(batches):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for node, part, grams in zip(*(c.to_pylist() for c in piece.columns)):
+                g = np.frombuffer(grams, "<u4")
+                first = g[np.lexsort((g, common[g >> (32 - BUCKET_BITS)]))][: len(g) - int(np.ceil(similarity * len(g) - SLACK)) + 1]
+                bits = np.packbits(np.bincount(g & 255, minlength=256) & 1).view("<i8")
+                for column, x in zip(out, (first, len(g), node, part, np.arange(len(first)), *bits)):
+                    column.append(np.broadcast_to(x, first.shape).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+    return sets.select("node", "part", "grams").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def _possible(lists: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of different parts that can be similar, of each two blocks ``x`` and ``y`` of a shingle's list.
+
+    Exact bounds alone rule a pair out. What two sets share after their first common shingle is at most what is left
+    of the shorter rest; and the shingles that only one has are at least as many as the parities that differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in in_slices(batches):
+            for k, same in enumerate(piece.column(2).to_pylist()):
+                x, y = ({f.name: v.field(f.name).to_numpy() for f in v.type} for v in (piece.column(0)[k].values, piece.column(1)[k].values))
+                least = similarity / (1 + similarity) * (x["n"][:, None] + y["n"]) - SLACK
+                ok = (x["part"][:, None] != y["part"]) & (np.minimum((x["n"] - x["at"])[:, None], y["n"] - y["at"]) >= least)
+                i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+                apart = sum(np.bitwise_count((x[b][i] ^ y[b][j]).view(np.uint64)).astype(np.int64) for b in ("b0", "b1", "b2", "b3"))
+                near = apart <= x["n"][i] + y["n"][j] - 2 * least[i, j]
+                a, b = x["node"][i[near]], y["node"][j[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return lists.select("x", "y", "same").mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all links between members of long lists that ``found`` does not join yet, by their rarest shingles.
+
+    ``sets`` holds those members. A shingle's list of any length is looked into whole, in pairs of blocks.
     """
     parts = components(found)
-    wide = wide_bands(sets).join(parts, "node", "left").select(F.col("node").alias("a"), F.coalesce("component", "node").alias("part"), F.posexplode("bands").alias("list", "key"))
-    wide = cut(wide)
-    sizes = cut(wide.groupBy("list", "key").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("list", "key", "size"))
-    member = F.struct("a", "part")
-    short = wide.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.collect_list(member).alias("m"))
-    in_list = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda y: y["part"] != x["part"]), lambda y: F.struct(F.greatest(x["a"], y["a"]).alias("a"), F.least(x["a"], y["a"]).alias("b")))))
-    made = cut(verified(cut(short.select(F.explode(in_list).alias("p")).select("p.a", "p.b").distinct()), sets, similarity))
-    long = wide.join(sizes.where(F.col("size") > list_most), ["list", "key"]).drop("size")
-    central = long.groupBy("a").agg((-F.count("*")).alias("rank"))
-    more = _rounds(cut(long.join(central, "a")), sets, similarity)
-    return made if more is None else made.unionByName(more)
+    sets = sets.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "grams")
+    lists = prefixes(cut(sets), similarity).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", "part", "at", "b0", "b1", "b2", "b3"))).alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
+    blocks = lists.select("key", "m", F.expr(f"explode(sequence(0, (size(m) - 1) div {BLOCK_ROWS})) AS i")).select("*", F.expr(f"explode(sequence(i, (size(m) - 1) div {BLOCK_ROWS})) AS j"))
+    blocks = blocks.where(F.expr(f"m[j * {BLOCK_ROWS}].n * {similarity!r}D - {SLACK!r}D <= m[least((i + 1) * {BLOCK_ROWS}, size(m)) - 1].n"))  # m goes by n
+    two = blocks.select("key", "i", "j", *(F.slice("m", F.col(c) * BLOCK_ROWS + 1, BLOCK_ROWS).alias(x) for c, x in (("i", "x"), ("j", "y"))), (F.col("i") == F.col("j")).alias("same"))
+    pairs = cut(_possible(two.repartition("key", "i", "j"), similarity).distinct())
+    made, turns = pairs.limit(0), -(-pairs.count() // TURN_PAIRS)
+    for k in range(turns):  # the sets of all pairs at once may need more disk than there is
+        made = made.unionByName(cut(verified(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == k), sets, similarity)))
+        release(pairs.sparkSession)
+    return made
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
@@ -274,13 +330,12 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     kind of index is kept over positional least values as well: a posting list is a band of four positions, and one
     of the sixteen bands' lists at least holds a pair of similarity 0.8 with a chance of 0.9998. Lists of up to
     ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's leader, those that are not
-    similar to it meet the next one, and so on until a round finds no link. Every candidate is verified on whole shingle sets, which ``sets_of``
-    makes for the candidates' nodes only.
+    similar to it meet the next one, and so on while rounds find many links. Every candidate is verified on whole
+    shingle sets, which ``sets_of`` makes for the candidates' nodes only.
 
-    A leader's round may end while some members are still apart from each other, so all members of long lists then
-    meet in a third index, of 48 bands of eight other positions: texts that only share a passage seldom agree in
-    eight, and a pair of similarity 0.8 does in one band at least with a chance of 0.9998. There only pairs that
-    are not in one component yet are verified.
+    Rounds leave members apart that never met. So all members of long lists then meet in a third index, a prefix
+    filter over their rarest shingles, which no pair of that similarity escapes, however long its lists are. There
+    only pairs that are not in one component yet are verified.
     """
     prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
     same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
@@ -302,7 +357,7 @@ def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
         return found
     near = _rounds(long.withColumn("part", F.col("a")), sets, similarity)
     found = found if near is None else found.unionByName(near)
-    return found.unionByName(_across(found, sets, list_most, similarity))
+    return found.unionByName(_across(found, sets, similarity))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, list_most: int = LIST_MOST) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 
 from latticeq.llm import quality_rules, simhash
 from latticeq.llm.queries import QUERIES
@@ -66,6 +67,23 @@ def test_scattered_copies_among_texts_that_share_a_passage(spark):
         assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(least))
 
 
+def test_pairs_of_which_all_lists_are_long(spark):
+    rng = np.random.default_rng(11)
+    passage = rng.integers(0, 1 << 32, 180, dtype=np.uint64)
+    own = [rng.integers(0, 1 << 32, 25, dtype=np.uint64) for _ in range(200)]
+    for i in range(50, 56):  # the lists' leader is in none of these pairs
+        own[i][:3] = own[i + 100][:3]  # of similarity 0.806; two others have 0.783
+    sets = [np.unique(np.concatenate([passage, o])).astype("<u4") for o in own]
+    near = {(j, i) for j in range(200) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert near == {(i + 100, i) for i in range(50, 56)}
+    fps = rng.integers(-(1 << 63), 1 << 63, 200)
+    nodes = spark.createDataFrame([(i, int(fps[i]), list(range(16))) for i in range(200)], "node bigint, fp bigint, bands array<bigint>")
+    grams = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node bigint, grams binary")
+    for most in (8, simhash.LIST_MOST):
+        found = simhash.similar_links(nodes, lambda some: grams.join(some, "node", "left_semi"), list_most=most)
+        assert {(max(r), min(r)) for r in found.collect()} == near
+
+
 def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
