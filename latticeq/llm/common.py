@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..checkpoints import checkpoint_root, cut, release
 
-__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "in_slices", "release", "shared_path"]
+__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "free_names", "in_slices", "release", "shared_path"]
 
 SLICE_ROWS = 128
 
@@ -28,6 +28,14 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """A free name for each of ``wanted``, all different."""
+    found: list[str] = []
+    for name in wanted:
+        found.append(free_name([*taken, *found], name))
+    return found
+
+
 def column_index(names: list[str], wanted: str) -> int:
     """Position of ``wanted`` as Spark resolves it: exact first, then ignoring case."""
     if wanted in names:

@@ -1,48 +1,57 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight bytes, each at its position. Two fingerprints that differ in at most two bits share
-at least six of the eight positional bytes, so the index finds candidates, the tally of shared positional bytes of
-each candidate pair must reach six, and the pairs that reach it are verified bit by bit.
+at least six of the eight positional bytes.
 
-Postings. A posting list of a single positional byte holds 1/256 of all fingerprints and its pairs grow with the
-square of the corpus. So the index is addressed by conjunctions of four positions (two of four blocks of two
-bytes): at least two blocks of a linked pair are untouched, hence one of the six conjunctions finds it, and a list
-holds what four single-byte lists have in common. Nothing is lost, and the tally decides as before.
+Postings. A posting list of a single positional byte holds 1/256 of all fingerprints, so its pairs grow with the
+square of the corpus. Lists are therefore addressed by five positional bytes together: a fingerprint stands in 56
+lists, one for each five of the eight positions, and two fingerprints that share ``m`` positional bytes meet in
+``C(m, 5)`` of them. The lists in which a pair meets are tallied; a pair that shares six bytes has at least
+``C(6, 5) = 6``, so pairs that reach six are retained and verified bit by bit, and all others are dropped.
 
-Long lists. Lists of up to ``LIST_MOST`` fingerprints are tallied in their own row. Fingerprints of a longer list
-take another exact way instead: each emits itself and its 64 one-bit neighbours as keys. Two of them share a key
-if and only if they differ in at most two bits, and at most 65 fingerprints can ever share one, whatever the data.
+Long lists. A list of more than ``LIST_MOST`` fingerprints is split by its free bytes: each member stands in a
+sub-list for itself and for each of the 24 fingerprints one free bit away. Two members meet there if and only if
+they differ in at most two bits, at most 25 can meet in one sub-list whatever the data, and the pair counts once for
+its list. So a linked pair gets its six counts from short and long lists alike, and nothing is lost.
 
 Copies meet in one fingerprint before any of this, so their number does not matter.
 
 Defined cases: a null, empty or word-less text has fingerprint zero and is linked like any other; a row without
 a doc_id keeps its fingerprint, has no component and links nothing; equal doc_ids may repeat; an empty table gives
-an empty table.
+an empty table; other columns, whatever their names, are not looked at.
+
+Similar texts. :func:`similar_documents` and :func:`keep_one` work on sets of five-word shingles at a Jaccard
+similarity of 0.8. Fingerprints alone reach few of those pairs (some five to twelve bits differ), so the fingerprint
+index gives the first links there and an exact prefix filter the rest; see :func:`similar_links`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators.graph import components
-from .common import arrow_rows, cut, free_name, in_slices, release
+from .common import arrow_rows, cut, free_names, in_slices, release
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 MOST_BITS = 2
-BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
-LEAST_SHARED = 8 - MOST_BITS
+BYTES, TAKEN = 8, 5
+LISTS = tuple(combinations(range(BYTES), TAKEN))
+LEAST_LISTS = comb(BYTES - MOST_BITS, TAKEN)
 LIST_MOST = 64
 CHUNK = 1 << 18
+SIMILARITY, SIMILAR_WIDTH = 0.8, 5
+BUCKET_BITS = 16
+FEW_LINKS = 64
+SLACK = 1e-6
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -81,313 +90,302 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "doc_id bigint, fp bigint")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _mask(positions: tuple[int, ...]) -> int:
-    value = sum(0xFF << (8 * p) for p in positions)
-    return value - (1 << 64) if value >> 63 else value
+    return _signed(sum(0xFF << (8 * p) for p in positions))
 
 
-def _shared_bytes(x: Column) -> Column:
-    """Positional bytes that are equal, of the exclusive or of two fingerprints."""
-    return sum((x.bitwiseAND(F.lit(_mask((p,)))) == 0).cast("int") for p in range(8))
+def _free_flips(positions: tuple[int, ...]) -> list[int]:
+    """Zero, and each bit of the bytes that a list does not fix."""
+    return [0, *(_signed(1 << (8 * p + k)) for p in range(BYTES) if p not in positions for k in range(8))]
 
 
-def links(prints: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
-    """``a, b`` nodes whose fingerprints differ in at most two bits, or are joined through such.
+def _pairs(members: str) -> Column:
+    """All pairs of a sorted list's fingerprints, the lesser first."""
+    return F.flatten(F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, F.size(members)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
 
-    ``prints`` has one row a fingerprint: ``fp`` and ``node``. The links of short posting lists are the pairs
-    themselves; those of long lists go from each member of a one-bit neighbourhood to its least node.
+def tallied(prints: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+    """``a, b, lists``: pairs of the distinct fingerprints ``fp`` and in how many posting lists they meet.
+
+    Pairs that differ in more than two bits are counted in short lists only, so their tally may be too low; that of
+    all others is exact.
     """
-    lists = [tuple(x for block in two for x in block) for two in combinations(BLOCKS, len(BLOCKS) - MOST_BITS)]
-    postings = prints.select("fp", "node", F.explode(F.array(*(F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for k, p in enumerate(lists)))).alias("at")).select("fp", "node", "at.*")
-    sizes = cut(postings.groupBy("list", "key").agg(F.count("*").alias("size")).where("size > 1"))
-    member = F.struct("fp", "node")
-    short = (
-        postings.join(sizes.where(F.col("size") <= list_most), ["list", "key"])
-        .groupBy(F.xxhash64("list", "key").alias("h"), (F.col("key") + F.col("list")).alias("spread"), "list", "key")
-        .agg(F.collect_list(member).alias("in_list"))
-    )
-    pairs = F.flatten(F.transform("in_list", lambda x, i: F.transform(F.slice("in_list", i + 2, F.greatest(F.size("in_list") - i - 1, F.lit(0))), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["fp"].bitwiseXOR(y["fp"]).alias("x")))))
-    near = F.filter(pairs, lambda p: (_shared_bytes(p["x"]) >= LEAST_SHARED) & (F.bit_count(p["x"]) <= MOST_BITS))
-    tallied = short.select(F.explode(near).alias("p")).select("p.a", "p.b")
-    long = postings.join(sizes.where(F.col("size") > list_most), ["list", "key"], "left_semi").select("fp", "node").distinct()
-    flips = F.array(F.lit(0), *(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)))
-    stars = (
-        long.select("node", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("near"))
-        .groupBy("near")
-        .agg(F.min("node").alias("b"), F.collect_list("node").alias("nodes"))
-        .where(F.size("nodes") > 1)
-        .select(F.explode("nodes").alias("a"), "b")
-        .where("a <> b")
-    )
-    return tallied.unionByName(stars)
+    at = F.array(*(F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key")) for k, p in enumerate(LISTS)))
+    postings = prints.select("fp", F.explode(at).alias("at")).select("fp", "at.list", "at.key")
+    held = cut(postings.withColumn("size", F.count("*").over(Window.partitionBy("list", "key"))).where("size > 1"))
+    short = held.where(F.col("size") <= list_most).groupBy("list", "key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
+    flips = F.array(*(F.array(*map(F.lit, _free_flips(p))) for p in LISTS))
+    near = held.where(F.col("size") > list_most).select("list", "fp", F.explode(F.transform(F.element_at(flips, F.col("list") + 1), lambda f: F.col("fp").bitwiseXOR(f))).alias("near"))
+    split = near.groupBy("list", "near").agg(F.sort_array(F.collect_list("fp")).alias("members")).where(F.size("members") > 1)
+    found = [x.select("list", F.explode(_pairs("members")).alias("p")).select("list", "p.*") for x in (short, split)]
+    return found[0].unionByName(found[1].distinct()).groupBy("a", "b").agg(F.count("*").alias("lists"))
+
+
+def links(prints: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
+    """``a, b``: the fingerprints of ``prints`` (a row each, ``fp``) that differ in at most two bits."""
+    kept = tallied(prints, list_most).where(F.col("lists") >= LEAST_LISTS)
+    return kept.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, list_most: int = LIST_MOST) -> DataFrame:
     """``doc_id, fp, component_id`` of each row: the smallest doc_id reachable over links, itself included."""
     made = cut(fingerprints(docs, id_col, text_col, width))
     prints = cut(made.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(prints, list_most))
-    classes = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    found = components(links(prints, list_most)).withColumnRenamed("node", "fp")
+    least = prints.join(found, "fp").groupBy("component").agg(F.min("node").alias("least"))
+    linked = found.join(least, "component").select("fp", "least")
+    classes = prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"))
     joined = made.join(classes, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-POSITIONS, BAND = 64, 4
-SIMILARITY, SIMILAR_WIDTH = 0.8, 5
-FEW_LINKS = 64
-BUCKET_BITS, BLOCK_ROWS, TURN_PAIRS, SLACK = 18, 256, 1 << 16, 1e-6
-
-
-@cache
-def _multipliers(positions: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20 if positions == POSITIONS else positions)
-    return rng.integers(1, 1 << 63, positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, positions, dtype=np.uint64)
-
-
-def least_values(h: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
-    """For each position, the top half of the least value of the hashes under the position's own permutation."""
-    a, b = _multipliers(positions)
-    least = np.full(positions, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 2048):
-        np.minimum(least, (h[at : at + 2048, None] * a + b).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _copy(blocks: list[np.ndarray]) -> int:
+    """Hash of the lower-cased word sequence; equal ones are copies."""
+    from xxhash import xxh64_intdigest
 
+    return _signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1))
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """``doc_id, copy, fp, bands``: hash of the lower-cased word sequence, SimHash, keys of the bands of least values."""
-    from xxhash import xxh64_intdigest
 
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def _set(blocks: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct shingle hashes; a text without words has one of its own."""
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
 
-    def work(ids, texts):
-        out: list[list] = [ids, [], [], []]
-        for t in texts:
-            blocks = list(shingle_hashes(t, width))
-            h = np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
-            values = least_values(h).reshape(-1, BAND)
-            out[1].append(_signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)))
-            out[2].append(_signed(_majority(blocks)))
-            out[3].append([_signed(xxh64_intdigest(v.tobytes(), k)) for k, v in enumerate(values)])
-        return out
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "doc_id bigint, copy bigint, fp bigint, bands array<bigint>")
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``tid`` (a hash of the text as it is) and ``text``."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """``node, copy, grams``: the sorted distinct shingle hashes (32 bits each) of whole texts."""
-    from xxhash import xxh64_intdigest
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH) -> DataFrame:
+    """``doc_id, tid, copy, fp`` of each row and, in rows of their own, ``bucket, n``: each task's shingles by bucket.
 
-    schema = pa.schema([("node", pa.int64()), ("copy", pa.int64()), ("grams", pa.binary())])
+    The buckets are the first ``BUCKET_BITS`` bits of the shingles' hashes; every shingle of every text is counted.
+    """
+    kinds = [("doc_id", pa.int64()), ("tid", pa.int64()), ("copy", pa.int64()), ("fp", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())]
+    schema = pa.schema(kinds)
 
-    def work(ids, texts):
-        found = [list(shingle_hashes(t, width)) for t in texts]
-        grams = [np.unique(np.concatenate([b >> np.uint64(32) for b in blocks])).astype("<u4").tobytes() if blocks else bytes(4) for blocks in found]
-        return [ids, [_signed(xxh64_intdigest(b"".join(b.tobytes() for b in blocks), 1)) for blocks in found], grams]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        for piece in in_slices(batches):
+            copies, prints = [], []
+            for text in piece.column(2).to_pylist():
+                blocks = list(shingle_hashes(text, width))
+                copies.append(_copy(blocks))
+                prints.append(_signed(_majority(blocks)))
+                seen += np.bincount((_set(blocks) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
+            none = pa.nulls(piece.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(copies, pa.int64()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none], schema=schema)
+        held = np.flatnonzero(seen)
+        none = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(held, pa.int32()), pa.array(seen[held])], schema=schema)
+
+    return _read(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, tid bigint, copy bigint, fp bigint, bucket int, n bigint")
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest ``n - similarity * n`` shingles (and one more) of a set of ``n``, by their buckets' counts.
+
+    In one order of all shingles two sets of that similarity share one of these, whatever the order is; rare ones
+    first makes short lists.
+    """
+    order = np.lexsort((grams, common[(grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+    return grams[order[: len(grams) - int(np.ceil(similarity * len(grams) - SLACK)) + 1]]
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) AS doc_id", f"cast(`{text_col}` as string) AS text").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, copy bigint, grams binary")
 
+def prefixes(docs: DataFrame, common: np.ndarray, text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, node, n, at``: each text's prefix shingles, its copy hash, the size of its set, and the shingle's place.
 
-def verified(pairs: DataFrame, grams: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``pairs`` (``a, b`` and more) whose shingle sets have at least that Jaccard similarity."""
-    names = pairs.columns
+    A task writes copies once; those of other tasks repeat the same rows.
+    """
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for piece in in_slices(batches):
-            ok = []
-            for x, y in zip(piece.column(len(names)).to_pylist(), piece.column(len(names) + 1).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            kept = piece.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
+            keys, nodes, sizes = [], [], []
+            for text in piece.column(0).to_pylist():
+                blocks = list(shingle_hashes(text, width))
+                if (copy := _copy(blocks)) not in known:
+                    known.add(copy)
+                    grams = _set(blocks)
+                    keys.append(prefix(grams, common, similarity).view(np.int64))
+                    nodes.append(copy)
+                    sizes.append(len(grams))
+            if keys:
+                each = np.array([len(k) for k in keys])
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(keys), np.repeat(np.array(nodes, np.int64), each), np.repeat(sizes, each), at), schema)], schema=schema)
 
-    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("__ga"))
-    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("__gb"))
-    return pairs.join(left, "a").join(right, "b").select(*names, "__ga", "__gb").mapInArrow(run, pairs.schema)
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "key bigint, node bigint, n int, at int")
 
 
-def _with_leaders(members: DataFrame) -> DataFrame:
-    """``list, key, a, part, rank, b``: members of long lists and their list's leader, the one of least ``rank``.
+def _overlap(n: Column, m: Column, similarity: float) -> Column:
+    """What sets of these sizes must have in common to be that similar."""
+    return (n + m) * (similarity / (1 + similarity)) - SLACK
 
-    A text that others are changed copies of keeps the common key in more bands than they do, so it leads, and its
-    copies meet it even where they are too far from each other. Members of the leader's ``part`` are linked to it.
-    """
-    first = members.groupBy("list", "key").agg(F.min_by(F.struct("a", "part"), F.struct("rank", "a")).alias("lead"))
-    met = members.join(first, ["list", "key"]).where("part <> lead.part")
-    return cut(met.select("list", "key", "a", "part", "rank", F.col("lead.a").alias("b")))
 
+def shared_postings(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, node, n, at`` of the prefix lists that can hold a pair, every text once in a list.
 
-def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """``a, b`` links of long lists' members to leaders, round after round while they find many.
-
-    They only spare ``_across`` the pairs of large groups, so their end loses nothing.
+    A pair of sizes ``n <= m`` shares at least ``_overlap(n, n)``, so the first shingle that it has in common lies
+    so early in the lesser set that as many are left. A list without such a member holds no pair.
     """
-    found, rest = None, _with_leaders(members)
-    while not rest.isEmpty():
-        met = cut(rest.select("a", "b").distinct())
-        near = cut(verified(met, sets, similarity))
-        linked = near.count()
-        if linked:
-            found = near if found is None else found.unionByName(near)
-        if linked * FEW_LINKS <= met.count():
-            break
-        rest = _with_leaders(rest.join(near, ["a", "b"], "left_anti").drop("b"))
-        release(members.sparkSession)
-    return found
+    in_order, whole = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
+    rows = found.withColumn("before", F.lag("node").over(in_order)).where("before IS NULL OR before <> node")
+    early = F.col("n") - F.col("at") >= _overlap(F.col("n"), F.col("n"), similarity)
+    rows = rows.withColumn("size", F.count("*").over(whole)).withColumn("early", F.max(early).over(whole))
+    return rows.where("size > 1 AND early").select("key", "node", "n", "at")
 
 
-def _commonness(sets: DataFrame, sample: int = 2000) -> np.ndarray:
-    """How often shingles of each bucket occur in some of the sets. It makes the order of ``prefixes``, where any serves."""
-    size = sets.count()
+def shingle_sets(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """``node, grams``: the sorted distinct shingle hashes of whole texts; ``docs`` has ``node`` and ``text``."""
+    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_slices(batches):
-            seen, n = np.unique(np.frombuffer(b"".join(piece.column(0).to_pylist()), "<u4") >> (32 - BUCKET_BITS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
-
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(-(-size // sample))) == 0) if size > sample else sets
-    counts = some.select("grams").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    common = np.zeros(1 << BUCKET_BITS, np.int64)
-    common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return common
+    def work(nodes, texts):
+        return [nodes, [_set(list(shingle_hashes(t, width))).tobytes() for t in texts]]
 
+    return docs.select("node", "text").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, grams binary")
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``key, n, node, part, at, b0 .. b3``: the rarest shingles of each set, which has ``n``, and their places.
 
-    In one order of all shingles two sets of that similarity share one of the first ``n - similarity * n`` (and one
-    more) of each. ``b0`` to ``b3`` are the parities of the set's shingles by their last eight bits.
-    """
-    common = _commonness(sets)
-    names = ["key", "n", "node", "part", "at", "b0", "b1", "b2", "b3"]
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b`` of ``pairs`` whose shingle sets have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for node, part, grams in zip(*(c.to_pylist() for c in piece.columns)):
-                g = np.frombuffer(grams, "<u4")
-                first = g[np.lexsort((g, common[g >> (32 - BUCKET_BITS)]))][: len(g) - int(np.ceil(similarity * len(g) - SLACK)) + 1]
-                bits = np.packbits(np.bincount(g & 255, minlength=256) & 1).view("<i8")
-                for column, x in zip(out, (first, len(g), node, part, np.arange(len(first)), *bits)):
-                    column.append(np.broadcast_to(x, first.shape).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+            ok = []
+            for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - SLACK:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
+            kept = piece.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
-    return sets.select("node", "part", "grams").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _possible(lists: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of different parts that can be similar, of each two blocks ``x`` and ``y`` of a shingle's list.
+def _with_parts(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``shared`` with the component (``part``) of each node under the links ``found``, without lists of one part."""
+    parts = components(found)
+    rows = shared.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+    whole = Window.partitionBy("key")
+    return cut(rows.withColumn("low", F.min("part").over(whole)).withColumn("high", F.max("part").over(whole)).where("low < high").drop("low", "high"))
 
-    Exact bounds alone rule a pair out. What two sets share after their first common shingle is at most what is left
-    of the shorter rest; and the shingles that only one has are at least as many as the parities that differ.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in in_slices(batches):
-            for k, same in enumerate(piece.column(2).to_pylist()):
-                x, y = ({f.name: v.field(f.name).to_numpy() for f in v.type} for v in (piece.column(0)[k].values, piece.column(1)[k].values))
-                least = similarity / (1 + similarity) * (x["n"][:, None] + y["n"]) - SLACK
-                ok = (x["part"][:, None] != y["part"]) & (np.minimum((x["n"] - x["at"])[:, None], y["n"] - y["at"]) >= least)
-                i, j = np.nonzero(np.triu(ok, 1) if same else ok)
-                apart = sum(np.bitwise_count((x[b][i] ^ y[b][j]).view(np.uint64)).astype(np.int64) for b in ("b0", "b1", "b2", "b3"))
-                near = apart <= x["n"][i] + y["n"][j] - 2 * least[i, j]
-                a, b = x["node"][i[near]], y["node"][j[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+def _fits(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= F.greatest(n, m) * similarity - SLACK
 
-    return lists.select("x", "y", "same").mapInArrow(run, "a bigint, b bigint")
 
+def _to_leaders(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """``a, b``: the members of each list and its leader of this turn, where they are of different parts."""
+    lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "part")).over(Window.partitionBy("key"))
+    met = rows.withColumn("lead", lead).where(F.col("part") != F.col("lead.part")).where(_fits(F.col("n"), F.col("lead.n"), similarity))
+    return met.select(F.greatest("node", F.col("lead.node")).alias("a"), F.least("node", F.col("lead.node")).alias("b")).distinct()
 
-def _across(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all links between members of long lists that ``found`` does not join yet, by their rarest shingles.
 
-    ``sets`` holds those members. A shingle's list of any length is looked into whole, in pairs of blocks.
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of a list's members of different parts that their sizes and places do not rule out.
+
+    Members of a list's largest part meet only those of other parts, so a large group that is one part already costs
+    its number of members, not the square of it. What two sets have in common is at most what is left in the shorter
+    rest from their common shingle on.
     """
-    parts = components(found)
-    sets = sets.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "grams")
-    lists = prefixes(cut(sets), similarity).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", "part", "at", "b0", "b1", "b2", "b3"))).alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-    blocks = lists.select("key", "m", F.expr(f"explode(sequence(0, (size(m) - 1) div {BLOCK_ROWS})) AS i")).select("*", F.expr(f"explode(sequence(i, (size(m) - 1) div {BLOCK_ROWS})) AS j"))
-    blocks = blocks.where(F.expr(f"m[j * {BLOCK_ROWS}].n * {similarity!r}D - {SLACK!r}D <= m[least((i + 1) * {BLOCK_ROWS}, size(m)) - 1].n"))  # m goes by n
-    two = blocks.select("key", "i", "j", *(F.slice("m", F.col(c) * BLOCK_ROWS + 1, BLOCK_ROWS).alias(x) for c, x in (("i", "x"), ("j", "y"))), (F.col("i") == F.col("j")).alias("same"))
-    pairs = cut(_possible(two.repartition("key", "i", "j"), similarity).distinct())
-    made, turns = pairs.limit(0), -(-pairs.count() // TURN_PAIRS)
-    for k in range(turns):  # the sets of all pairs at once may need more disk than there is
-        made = made.unionByName(cut(verified(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == k), sets, similarity)))
-        release(pairs.sparkSession)
-    return made
-
-
-def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: nodes of at least that similarity. ``nodes``: ``node, fp, bands``, one row a text.
-
-    SimHash alone reaches few of these pairs (at a similarity of 0.8 some five to twelve bits differ), so the same
-    kind of index is kept over positional least values as well: a posting list is a band of four positions, and one
-    of the sixteen bands' lists at least holds a pair of similarity 0.8 with a chance of 0.9998. Lists of up to
-    ``list_most`` nodes give their pairs; in longer ones all nodes meet the list's leader, those that are not
-    similar to it meet the next one, and so on while rounds find many links. Every candidate is verified on whole
-    shingle sets, which ``sets_of`` makes for the candidates' nodes only.
-
-    Rounds leave members apart that never met. So all members of long lists then meet in a third index, a prefix
-    filter over their rarest shingles, which no pair of that similarity escapes, however long its lists are. There
-    only pairs that are not in one component yet are verified.
+    counted = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "part")))
+    counted = counted.withColumn("most", F.max(F.struct("size", "part")).over(Window.partitionBy("key"))["part"])
+    one = counted.where("part <> most").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "part")))
+    met = one.join(rows, "key").where("part1 <> part").where(_fits(F.col("n1"), F.col("n"), similarity))
+    met = met.where(F.least(F.col("n1") - F.col("at1"), F.col("n") - F.col("at")) >= _overlap(F.col("n1"), F.col("n"), similarity))
+    return met.select(F.greatest("node", "node1").alias("a"), F.least("node", "node1").alias("b")).distinct()
+
+
+def _by_fingerprint(made: DataFrame, list_most: int) -> DataFrame:
+    """``a, b``: texts and the least one of their SimHash component."""
+    nodes = cut(made.select(F.col("copy").alias("a"), "fp").distinct())
+    found = components(links(nodes.select("fp").distinct(), list_most))
+    rows = nodes.join(found, F.col("fp") == F.col("node"), "left").select("a", F.coalesce("component", "fp").alias("group"))
+    least = rows.groupBy("group").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(least, "group").where("a <> b").select("a", "b")
+
+
+def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list_most: int = LIST_MOST, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links between texts (by copy hash) whose components are those of all pairs of that similarity.
+
+    ``made`` has the rows of :func:`sketches`, ``docs`` the texts. Links come in three steps, each verified on whole
+    shingle sets: (1) the components of the SimHash index; (2) in each list of the prefix filter, the members to the
+    list's leader, for as many turns as give many links; (3) all pairs of a list that are in different components by
+    then and that sizes and places cannot rule out. Steps 1 and 2 only spare step 3 the pairs of large groups: the
+    prefix filter alone misses no pair, and no list of any length is cut.
     """
-    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
-    same = nodes.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b"))
-    postings = nodes.select("node", F.posexplode("bands").alias("list", "key"))
-    sizes = cut(postings.groupBy("list", "key").agg(F.count("*").alias("size")).where("size > 1"))
-    short = postings.join(sizes.where(F.col("size") <= list_most), ["list", "key"]).groupBy(F.xxhash64("list", "key").alias("h"), "list", "key").agg(F.sort_array(F.collect_list("node")).alias("n"))
-    in_list = F.flatten(F.transform("n", lambda x, i: F.transform(F.slice("n", i + 2, F.greatest(F.size("n") - i - 1, F.lit(0))), lambda y: F.struct(y.alias("a"), x.alias("b")))))
-    pairs = short.select(F.explode(in_list).alias("p")).select("p.a", "p.b")
-    pairs = cut(pairs.unionByName(same).unionByName(links(prints, list_most)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    long = cut(postings.join(sizes.where(F.col("size") > list_most), ["list", "key"]).select("list", "key", F.col("node").alias("a")))
-    central = long.groupBy("a").agg((-F.count("*")).alias("rank"))
-    long = cut(long.join(central, "a"))
-    ends = [x.select(F.col(c).alias("node")) for x, c in ((pairs, "a"), (pairs, "b"), (long, "a"))]
-    sets = cut(sets_of(ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct()))
-    found = cut(verified(pairs, sets, similarity))
-    sets = cut(sets.join(long.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))  # the rest needs no others
-    release(nodes.sparkSession)
-    if sets.isEmpty():
-        return found
-    near = _rounds(long.withColumn("part", F.col("a")), sets, similarity)
-    found = found if near is None else found.unionByName(near)
-    return found.unionByName(_across(found, sets, similarity))
+    counts = made.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    common = np.zeros(1 << BUCKET_BITS, np.int64)
+    common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    made = made.where("bucket IS NULL")
+    shared = cut(shared_postings(prefixes(docs, common, text_col, similarity=similarity), similarity))
+    first = cut(_by_fingerprint(made, list_most))
+    nodes = shared.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    own = made.groupBy(F.col("copy").alias("node")).agg(F.min(F.struct("doc_id", "tid")).alias("own")).join(nodes, "node", "left_semi").select("node", "own.*")
+    texts = _read(docs, "doc_id", text_col).join(own, ["doc_id", "tid"]).select("node", "text")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut(shingle_sets(texts).repartition(spread, "node").dropDuplicates(["node"]))
+    release(docs.sparkSession)
+    found, turn = cut(verified(first, sets, similarity)), 0
+    rows = _with_parts(shared, found)
+    while not rows.isEmpty():
+        met = cut(_to_leaders(rows, turn, similarity))
+        near = cut(verified(met, sets, similarity))
+        found, turn, linked = found.unionByName(near), turn + 1, near.count()
+        if linked:
+            rows = _with_parts(rows.drop("part"), found)
+        release(docs.sparkSession)
+        if linked * FEW_LINKS <= met.count():
+            break
+    return found.unionByName(verified(cut(_across(rows, similarity)), sets, similarity))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, list_most: int = LIST_MOST) -> DataFrame:
-    """``doc_id, component_id``: components of documents whose five-word shingle sets are that similar."""
-    docs = docs.where(F.col(id_col).isNotNull())
-    made = cut(sketches(docs, id_col, text_col))
-    copies = cut(made.groupBy("copy").agg(F.min("doc_id").alias("node")))
-    own = copies.select(F.col("node").alias("__n"), F.col("copy").alias("__c"))
-    nodes = cut(made.join(own, (F.col("doc_id") == F.col("__n")) & (F.col("copy") == F.col("__c")), "left_semi").select(F.col("doc_id").alias("node"), "fp", "bands").dropDuplicates(["node", "fp"]))
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, list_most: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tid, copy`` of the rows with an id, and ``copy, component`` of the texts that are linked."""
+    named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    made = cut(sketches(named))
+    found = components(similar_links(named, made, "text", list_most, similarity)).withColumnRenamed("node", "copy")
+    return made.where("bucket IS NULL").select("doc_id", "tid", "copy"), found
+
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        texts = docs.join(some.select(F.col("node").alias("__n")), F.col(id_col) == F.col("__n"), "left_semi")
-        sets = shingle_sets(texts, id_col, text_col).join(own, (F.col("node") == F.col("__n")) & (F.col("copy") == F.col("__c")), "left_semi")
-        return sets.select("node", "grams").dropDuplicates(["node"])
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, list_most: int = LIST_MOST) -> DataFrame:
+    """``doc_id, component_id``: components of documents whose five-word shingle sets are that similar.
 
-    found = components(similar_links(nodes, sets_of, list_most, similarity))
-    classes = copies.join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("component_id"))
-    return made.select("doc_id", "copy").join(classes, "copy").select("doc_id", "component_id")
+    The component's id is the least doc_id in it. Rows without a doc_id are left out.
+    """
+    made, found = _classes(docs, id_col, text_col, similarity, list_most)
+    copies = made.groupBy("copy").agg(F.min("doc_id").alias("least")).join(found, "copy", "left")
+    copies = copies.select("copy", "least", F.coalesce("component", "copy").alias("component"))
+    ids = copies.groupBy("component").agg(F.min("least").alias("component_id"))
+    return made.join(copies.join(ids, "component").select("copy", "component_id"), "copy").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of similar documents, that of its smallest doc_id; same columns.
 
-    Of rows that repeat that doc_id, the one whose text has the least hash stays. Rows without a doc_id all stay.
+    Of rows that repeat that doc_id with similar texts, one stays; rows with one doc_id and different texts are
+    different documents. Rows without a doc_id all stay.
     """
-    keep = similar_documents(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    rank = free_name(docs.columns, "rank")
-    named = docs.where(F.col(id_col).isNotNull())
-    first = named.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string")))))
-    return first.where(F.col(rank) == 1).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    made, found = _classes(docs, id_col, text_col, SIMILARITY, LIST_MOST)
+    first = made.groupBy("copy").agg(F.min(F.struct("doc_id", "copy", "tid")).alias("first")).join(found, "copy", "left")
+    keep = first.groupBy(F.coalesce("component", "copy").alias("component")).agg(F.min("first").alias("first"))
+    named = free_names(docs.columns, "kept_id", "kept_tid", "rank")
+    kept_id, kept_tid, rank = named
+    keep = keep.select(F.col("first.doc_id").alias(kept_id), F.col("first.tid").alias(kept_tid))
+    own, tid = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).join(keep, (own == F.col(kept_id)) & (tid == F.col(kept_tid)), "left_semi")
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(own, tid).orderBy(F.lit(0)))).where(F.col(rank) == 1).drop(rank)
+    return rows.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

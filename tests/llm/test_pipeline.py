@@ -4,7 +4,6 @@ import random
 import re
 
 import corpus_pipeline
-import numpy as np
 
 from latticeq.llm import quality_rules, simhash
 from latticeq.llm.queries import QUERIES
@@ -68,20 +67,48 @@ def test_scattered_copies_among_texts_that_share_a_passage(spark):
 
 
 def test_pairs_of_which_all_lists_are_long(spark):
-    rng = np.random.default_rng(11)
-    passage = rng.integers(0, 1 << 32, 180, dtype=np.uint64)
-    own = [rng.integers(0, 1 << 32, 25, dtype=np.uint64) for _ in range(200)]
-    for i in range(50, 56):  # the lists' leader is in none of these pairs
-        own[i][:3] = own[i + 100][:3]  # of similarity 0.806; two others have 0.783
-    sets = [np.unique(np.concatenate([passage, o])).astype("<u4") for o in own]
-    near = {(j, i) for j in range(200) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+
+    def words(n):
+        return [f"w{next(fresh)}x{rng.randrange(1000)}" for _ in range(n)]
+
+    passage = words(184)
+    own = [words(25) for _ in range(200)]
+    for i in range(50, 56):
+        own[i + 100][:3] = own[i][:3]  # of similarity 0.8 and more; all others are below
+    texts = [passage + o for o in own]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    near = {(j, i) for j in range(200) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert near == {(i + 100, i) for i in range(50, 56)}
-    fps = rng.integers(-(1 << 63), 1 << 63, 200)
-    nodes = spark.createDataFrame([(i, int(fps[i]), list(range(16))) for i in range(200)], "node bigint, fp bigint, bands array<bigint>")
-    grams = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node bigint, grams binary")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     for most in (8, simhash.LIST_MOST):
-        found = simhash.similar_links(nodes, lambda some: grams.join(some, "node", "left_semi"), list_most=most)
-        assert {(max(r), min(r)) for r in found.collect()} == near
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, list_most=most).collect()}
+        assert found == {i: i - 100 if (i, i - 100) in near else i for i in range(200)}
+
+
+def test_large_part_with_strays(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)]
+
+    base = words(200)
+    texts = [list(base) for _ in range(400)]
+    for t in texts[1:]:
+        for k in rng.sample(range(200), 6):
+            t[k] = words(1)[0]
+    texts += [base[:100] + words(100) for _ in range(5)] + [words(3), words(3), [], []]
+    texts.append(texts[-4] + [])
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    least = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = sorted((least[i], least[j]), reverse=True)
+                least = [new if x == old else x for x in least]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == dict(enumerate(least))
 
 
 def test_run_and_entry(spark):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -70,9 +71,24 @@ def test_links_short_and_long_lists_lose_none(spark, list_most):
         by_print.setdefault(p, i)
     rows = [(p - 2**64 if p >> 63 else p, i) for p, i in by_print.items()]
     df = spark.createDataFrame(rows, "fp bigint, node bigint")
-    found = {r.node: r.component for r in simhash.components(simhash.links(df, list_most)).collect()}
-    brute = brute_components([(i, p) for p, i in rows])
-    assert {i: found.get(i, i) for i in brute} == brute
+    tally = {(r.a, r.b): r.lists for r in simhash.tallied(df, list_most).collect()}
+    pairs = {(min(p, q), max(p, q)): p ^ q for p, _ in rows for q, _ in rows if p != q}
+    shared = {k: sum((x >> 8 * p) & 255 == 0 for p in range(8)) for k, x in pairs.items()}
+    for k, x in pairs.items():
+        if bin(x & (2**64 - 1)).count("1") <= 2 or list_most == 64 and shared[k] >= 5:
+            assert tally[k] == math.comb(shared[k], 5)
+    assert all(tally[k] <= math.comb(shared[k], 5) for k in tally)
+    got = {(r.a, r.b) for r in simhash.links(df, list_most).collect()}
+    assert got == {k for k, x in pairs.items() if bin(x & (2**64 - 1)).count("1") <= 2}
+
+
+def test_one_large_ball_of_fingerprints(spark):
+    center = 0x0123456789ABCDEF
+    prints = [center] + [center ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)] + [center ^ (1 << i) for i in range(64)]
+    df = spark.createDataFrame([(p - 2**64 if p >> 63 else p,) for p in prints], "fp bigint")
+    found = {(r.a, r.b) for r in simhash.links(df).collect()}
+    signed = [r.fp for r in df.collect()]
+    assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
 def test_near_duplicates_defined_cases(spark, odd):
