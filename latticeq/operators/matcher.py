@@ -76,7 +76,7 @@ def thumbnail_embedder(side: int = 8) -> Embedder:
     """A stand-in without a model: the centered gray thumbnail."""
 
     def embed(batch: list[np.ndarray]) -> list[list[float]]:
-        out = [images.resize_area(images.luma(x), side, side).ravel() for x in batch]
+        out = [images.resize(images.luma(x), side, side).ravel() for x in batch]
         return [(v - v.mean() + 1e-6).tolist() for v in out]
 
     return embed

@@ -20,7 +20,7 @@ FAMILIES = TRAIN_FAMILIES + HELD_OUT_FAMILIES
 FAMILY_WEIGHTS = (("identity", 0.08), ("palette_random", 0.25), ("palette_permute", 0.12), ("palette_transfer", 0.30), ("hsv", 0.12), ("channel", 0.08), ("gray", 0.05))
 SHARED_ROUNDS = 3
 PAIRS_PER_DESIGN = 2
-SCHEMA = "spec_id bigint, op string, role string, label bigint, family string, donor_label bigint, seed bigint, strict boolean, round int, pal_seed bigint, aug boolean"
+SCHEMA = "spec_id bigint, op string, role string, label bigint, family string, donor_label bigint, seed bigint, strict boolean, round int, pal_seed bigint, aug boolean, photo string"
 
 
 def families(spark: SparkSession) -> DataFrame:
@@ -69,7 +69,7 @@ def build(designs: DataFrame, extra_photos: DataFrame | None = None, seed: int =
     if extra_photos is not None:
         from .ingest import with_position
 
-        parts.append(row(with_position(extra_photos, "label", "photo"), base + 2 * rounds * n + F.col("pos"), "orig", "rephoto"))
+        parts.append(row(with_position(extra_photos, "label", "photo"), base + 2 * rounds * n + F.col("pos"), "orig", "rephoto", photo=F.col("photo")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -77,21 +77,24 @@ def build(designs: DataFrame, extra_photos: DataFrame | None = None, seed: int =
 
 
 def pairs(designs: DataFrame, seed: int = 0, per_design: int = PAIRS_PER_DESIGN) -> DataFrame:
-    """``kind, a, b`` (specification ids): genuine, impostors at random, and impostors in one shared palette."""
+    """``kind, a, b`` (specification ids): genuine, impostors at random, and impostors in one shared palette.
+
+    The latter are two different designs of a round's gallery side, which all wear one palette.
+    """
     n, k, label = designs.count(), len(FAMILIES), F.col("label")
     each = designs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(per_design - 1))))
 
     def draw(what: str, most: int) -> Column:
         return portable_draw(str(seed), what, label, F.col("t")) % most
 
-    j = other_than(label, draw("other", n - 1))
+    j, i = (other_than(label, draw(what, n - 1)) for what in ("other", "same"))
     f = draw("family", k)
     at = n * (k + 2)
     r = draw("round", SHARED_ROUNDS)
     return (
         each.select(F.lit("genuine").alias("kind"), label.alias("a"), (n + label * k + f).alias("b"))
         .unionByName(each.select(F.lit("impostor_random").alias("kind"), label.alias("a"), (n + j * k + f).alias("b")))
-        .unionByName(each.select(F.lit("impostor_samepal").alias("kind"), (at + r * 2 * n + label).alias("a"), (at + (r * 2 + 1) * n + j).alias("b")))
+        .unionByName(each.select(F.lit("impostor_samepal").alias("kind"), (at + r * 2 * n + label).alias("a"), (at + r * 2 * n + i).alias("b")))
     )
 
 

@@ -10,11 +10,14 @@ import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import images
 from ..functions.vectors import dot
 
 TEMPERATURE = 0.07
+#: Random palettes of different epochs have different seeds up to this bank size.
+BANK_STREAMS = 1 << 20
 
 
 def contrastive_loss(batch: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -87,7 +90,33 @@ def palette_bank(palettes: DataFrame, epoch: int, size: int = 24) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [images.random_palette(6, np.random.default_rng([10_000 + epoch, int(i)])).ravel().tolist() for i in b["bank_id"]]
+            found = _random(b["bank_id"].to_numpy() + (10_000 + epoch) * BANK_STREAMS)
             yield pd.DataFrame({"bank_id": b["bank_id"], "palette": found})
 
     return own.unionByName(spark.range(real, size).select(F.col("id").alias("bank_id")).mapInPandas(made, "bank_id bigint, palette array<double>"))
+
+
+def _random(seeds: np.ndarray) -> list[list[float]]:
+    found = images.random_palettes(np.full(len(seeds), 6), images.Draws(seeds)).colors if len(seeds) else np.zeros((0, 6, 3))
+    return found.reshape(len(seeds), -1).tolist()
+
+
+def with_targets(rows: DataFrame, palettes: DataFrame, epoch: int, key: list[Column], size: int = 24) -> DataFrame:
+    """``rows`` plus ``palette``, the target of each row (told apart by ``key``).
+
+    With a bank all rows share its few targets. Without one (``size`` 0) every row has its own: half the rows take
+    the palette of a row of ``palettes`` (dense ``pos``), half a random one.
+    """
+    if size:
+        bank = F.broadcast(palette_bank(palettes, epoch, size))  # as many rows as its size
+        return rows.withColumn("bank_id", portable_draw(str(epoch), "target", *key) % size).join(bank, "bank_id")
+    n = palettes.count()
+    drawn = rows.withColumn("__own", portable_uniform(str(epoch), "real", *key) < 0.5).withColumn("__pos", portable_draw(str(epoch), "target", *key) % max(n, 1)).withColumn("__seed", portable_draw(str(epoch), "random", *key))
+    real = drawn.where("__own").join(palettes.select(F.col("pos").alias("__pos"), "palette"), "__pos").select(*rows.columns, "palette")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="__seed").assign(palette=_random(b["__seed"].to_numpy()))
+
+    rest = drawn.where("NOT __own" if n else "true").select(*rows.columns, "__seed")
+    return real.unionByName(rest.mapInPandas(made, StructType([*rows.schema.fields, StructField("palette", ArrayType(DoubleType()))])))

@@ -33,10 +33,17 @@ def picture(vector: np.ndarray, side: int = SIDE) -> np.ndarray:
     return np.clip(band[None] * np.linspace(0.6, 1.2, side)[:, None, None], 0, 255).astype(np.uint8)
 
 
+BATCH = 64
+
+
 def _mapped(rows: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` on up to ``BATCH`` rows at a time, as columns in and out."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([f(r) for r in b.to_dict("records")], columns=[c.split()[0] for c in schema.split(", ")])
+            for at in range(0, len(b), BATCH):
+                yield pd.DataFrame(dict(zip(names, f(b.iloc[at : at + BATCH]))), columns=names)
 
     return rows.mapInPandas(run, schema)
 
@@ -45,15 +52,24 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), "embedding")
 
 
+def _pictures(b: pd.DataFrame, column: str = "embedding") -> np.ndarray:
+    return np.stack([picture(v) for v in b[column]])
+
+
+def _lists(x: np.ndarray) -> list:
+    return x.reshape(len(x), -1).tolist()
+
+
 @query
 def image_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six k-means colors of each picture and how many are left after close ones are merged."""
 
-    def one(r):
-        p = images.palette_of(picture(r["embedding"]), 6, int(r["id"]))
-        return r["id"], p.round(3).ravel().tolist(), len(images.merge_close(p))
+    def some(b):
+        found = images.extract_palettes(list(_pictures(b)), b["id"])
+        left = images.merged(images.Palettes(found, np.ones(found.shape[:2], bool)))
+        return b["id"], _lists(found.round(3)), left.sizes
 
-    return _mapped(_vectors(spark, sf_dir), one, "id bigint, palette array<double>, n_merged bigint")
+    return _mapped(_vectors(spark, sf_dir), some, "id bigint, palette array<double>, n_merged bigint")
 
 
 @query
@@ -61,7 +77,7 @@ def image_phash_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low-frequency block of each picture, hashed in its eight orientations."""
     from ..functions.hashing import hashes
 
-    blocks = _mapped(_vectors(spark, sf_dir), lambda r: (r["id"], images.low_block(picture(r["embedding"]))), "id bigint, block array<double>")
+    blocks = _mapped(_vectors(spark, sf_dir), lambda b: (b["id"], [images.low_block(x) for x in _pictures(b)]), "id bigint, block array<double>")
     return blocks.select("id", hashes("block").alias("hash"))
 
 
@@ -69,24 +85,24 @@ def image_phash_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_recolor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every color family on every picture: mean channels after the change, seeded by row and family."""
 
-    def one(r):
-        out = images.recolor(picture(r["embedding"]), r["family"], np.random.default_rng(int(r["id"]) * 16 + int(r["ord"])))
-        return r["id"], r["family"], *out.mean((0, 1)).round(4).tolist()
+    def some(b):
+        out = images.recolor(_pictures(b), b["family"].to_numpy(), images.Draws(b["id"] * 16 + b["ord"]))
+        return b["id"], b["family"], *out.mean((1, 2)).round(4).T
 
     rows = _vectors(spark, sf_dir).crossJoin(F.broadcast(specs.families(spark)))  # eight families
-    return _mapped(rows, one, "id bigint, family string, r double, g double, b double")
+    return _mapped(rows, some, "id bigint, family string, r double, g double, b double")
 
 
 @query
 def image_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random crop and a further photo of each picture."""
 
-    def one(r):
-        rng = np.random.default_rng(int(r["id"]))
-        out = images.photo(images.random_resized_crop(picture(r["embedding"]), 24, rng), rng)
-        return r["id"], out.shape[0], out.shape[1], float(out.mean())
+    def some(b):
+        draws = images.Draws(b["id"])
+        out = images.photo(images.random_crops(list(_pictures(b)), 24, draws), draws.fork(0))
+        return b["id"], [out.shape[1]] * len(b), [out.shape[2]] * len(b), out.mean((1, 2, 3))
 
-    return _mapped(_vectors(spark, sf_dir), one, "id bigint, height bigint, width bigint, mean double")
+    return _mapped(_vectors(spark, sf_dir), some, "id bigint, height bigint, width bigint, mean double")
 
 
 @query
@@ -96,12 +112,12 @@ def render_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumn("label", F.col("label").cast("bigint"))
     rows = specs.build(designs(spark, sf_dir)).join(own, "label").join(own.select(F.col("label").alias("donor_label"), F.col("embedding").alias("donor")), "donor_label", "left")
 
-    def one(r):
-        target = None if r["donor"] is None else images.palette_of(picture(r["donor"]), 6)
-        out = images.render(r, picture(r["embedding"]), target, SIDE)
-        return r["spec_id"], r["role"], *out.shape[:2], float(out.mean())
+    def some(b):
+        donors = [None if v is None else picture(v) for v in b["donor"]]
+        out = images.render(files.plain(b).to_dict("records"), list(_pictures(b)), donors, SIDE)
+        return b["spec_id"], b["role"], [SIDE] * len(b), [SIDE] * len(b), out.mean((1, 2, 3))
 
-    return _mapped(rows, one, "spec_id bigint, role string, height bigint, width bigint, mean double")
+    return _mapped(rows, some, "spec_id bigint, role string, height bigint, width bigint, mean double")
 
 
 @query
@@ -117,7 +133,7 @@ def half_precision_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(_vectors(spark, sf_dir), lambda r: (r["id"], images.palette_of(picture(r["embedding"]), 6, int(r["id"])).ravel().tolist()), "pos bigint, palette array<double>")
+    return _mapped(_vectors(spark, sf_dir), lambda b: (b["id"], _lists(images.extract_palettes(list(_pictures(b)), b["id"]))), "pos bigint, palette array<double>")
 
 
 @query
@@ -126,23 +142,33 @@ def palette_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.palette_bank(_palettes(spark, sf_dir), 3)
 
 
+def _views(spark: SparkSession, sf_dir: str, bank_size: int) -> DataFrame:
+    epoch = 3
+    key = [F.col("id"), F.col("view")]
+    rows = training.views(_vectors(spark, sf_dir), 4)
+    rows = training.with_targets(rows, _palettes(spark, sf_dir), epoch, key, bank_size)
+    rows = rows.withColumn("family", training.weighted_choice(training.portable_uniform(str(epoch), "family", *key), list(specs.FAMILY_WEIGHTS))).withColumn("seed", training.portable_draw(str(epoch), "view", *key))
+
+    def some(b):
+        draws = images.Draws(b["seed"])
+        x = images.random_crops(list(_pictures(b)), 24, draws)
+        x = images.recolor(x, b["family"].to_numpy(), draws.fork(0), np.stack([np.reshape(p, (-1, 3)) for p in b["palette"]]))
+        t = images.to_tensor(images.photo(x, draws.fork(1)))
+        return b["id"], b["view"], b["family"], [t.shape[2]] * len(b), t.mean((1, 2, 3)).astype(float)
+
+    return _mapped(rows, some, "id bigint, view int, family string, side bigint, mean double")
+
+
 @query
 def train_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four training views of each picture: a family by its weight, a target from the bank, a crop, a further photo.
 
     Views are seeded by epoch, picture and number, so that a rerun gives the same.
     """
-    epoch, size = 3, 24
-    bank = F.broadcast(training.palette_bank(_palettes(spark, sf_dir), epoch, size))  # as many rows as its size
-    key = [F.col("id"), F.col("view")]
-    rows = training.views(_vectors(spark, sf_dir), 4).withColumn("bank_id", training.portable_draw(str(epoch), "target", *key) % size)
-    rows = rows.withColumn("family", training.weighted_choice(training.portable_uniform(str(epoch), "family", *key), list(specs.FAMILY_WEIGHTS))).withColumn("seed", training.portable_draw(str(epoch), "view", *key))
+    return _views(spark, sf_dir, 24)
 
-    def one(r):
-        rng = np.random.default_rng(int(r["seed"]))
-        x = images.random_resized_crop(picture(r["embedding"]), 24, rng)
-        x = images.photo(images.recolor(x, r["family"], rng, np.reshape(r["palette"], (-1, 3))), rng)
-        t = images.to_tensor(x)
-        return r["id"], r["view"], r["family"], t.shape[1], float(t.mean())
 
-    return _mapped(rows.join(bank, "bank_id"), one, "id bigint, view int, family string, side bigint, mean double")
+@query
+def train_views_without_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a target of its own for each view: another picture's palette or a random one."""
+    return _views(spark, sf_dir, 0)

@@ -428,11 +428,11 @@ def spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SPEC_SQL.rsplit("s AS (", 1)[0] + f"""
-t AS (SELECT label, n, t, {draw_sql("'0'", "'other'", "label", "t")} % (n - 1) AS j, {draw_sql("'0'", "'family'", "label", "t")} % 8 AS f, {draw_sql("'0'", "'round'", "label", "t")} % 3 AS r FROM d, n, range(2) x(t)),
-o AS (SELECT *, j + CASE WHEN j >= label THEN 1 ELSE 0 END AS other FROM t)
+t AS (SELECT label, n, t, {draw_sql("'0'", "'other'", "label", "t")} % (n - 1) AS j, {draw_sql("'0'", "'same'", "label", "t")} % (n - 1) AS i, {draw_sql("'0'", "'family'", "label", "t")} % 8 AS f, {draw_sql("'0'", "'round'", "label", "t")} % 3 AS r FROM d, n, range(2) x(t)),
+o AS (SELECT *, j + CASE WHEN j >= label THEN 1 ELSE 0 END AS other, i + CASE WHEN i >= label THEN 1 ELSE 0 END AS same FROM t)
 SELECT 'genuine' AS kind, label::BIGINT AS a, (n + label * 8 + f)::BIGINT AS b FROM o
 UNION ALL SELECT 'impostor_random', label, n + other * 8 + f FROM o
-UNION ALL SELECT 'impostor_samepal', n * 10 + r * 2 * n + label, n * 10 + (r * 2 + 1) * n + other FROM o
+UNION ALL SELECT 'impostor_samepal', n * 10 + r * 2 * n + label, n * 10 + r * 2 * n + same FROM o
 """)
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.pairs(designs(spark, sf_dir)).select("kind", "a", "b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -32,16 +33,63 @@ def scan_images(spark: SparkSession, *roots: str, content: bool = True) -> DataF
 
 
 def decode(spark: SparkSession, *roots: str) -> DataFrame:
-    """``path, height, width, channels, pixels`` by the built-in image reader; undecodable files have height -1."""
+    """``path, height, width, channels, pixels, orientation`` by the built-in image reader; undecodable files have height -1.
+
+    ``orientation`` is null for files that stand upright; :func:`pixels` turns the others.
+    """
     frames = [spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(r) for r in roots]
     i = reduce(DataFrame.unionByName, frames).select("image.*")
-    return i.where(ingest.suffix(F.col("origin")).isin(*SUFFIXES)).select(F.regexp_replace("origin", "^([a-z]+):///", "$1:/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
+    rows = i.where(ingest.suffix(F.col("origin")).isin(*SUFFIXES)).select(F.regexp_replace("origin", "^([a-z]+):///", "$1:/").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
+    return rows.join(orientations(spark, *roots), "path", "left")
+
+
+def exif_orientation(data: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG file's EXIF part names; 1 without one."""
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while data[at : at + 1] == b"\xff" and at + 4 <= len(data) and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        part = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and part[:6] == b"Exif\0\0" and part[6:8] in (b"II", b"MM"):
+            part, order = part[6:], "little" if part[6:8] == b"II" else "big"
+            first = int.from_bytes(part[4:8], order)
+            for k in range(int.from_bytes(part[first : first + 2], order)):
+                entry = part[first + 2 + 12 * k : first + 14 + 12 * k]
+                if int.from_bytes(entry[:2], order) == 0x112:
+                    found = int.from_bytes(entry[8:10], order)
+                    return found if 1 <= found <= 8 else 1
+        at += 2 + size
+    return 1
+
+
+def orientations(spark: SparkSession, *roots: str) -> DataFrame:
+    """``path, orientation`` of the JPEG files that do not stand upright."""
+    files = scan_images(spark, *roots).where(ingest.suffix(F.col("path")).isin(".jpg", ".jpeg")).select("path", F.substring("content", 1, 1 << 17).alias("head"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = pd.DataFrame({"path": b["path"], "orientation": [exif_orientation(bytes(h)) for h in b["head"]]})
+            yield rows[rows["orientation"] > 1]
+
+    return files.mapInPandas(run, "path string, orientation int")
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image as its EXIF orientation means it to be seen."""
+    if orientation in (2, 4, 5, 7):
+        image = image[:, ::-1]
+    return np.ascontiguousarray(np.rot90(image, {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation, 0)))
 
 
 def pixels(row: dict) -> np.ndarray:
-    """RGB array of a decoded row: gray is repeated, alpha is dropped, the stored order is blue first."""
+    """Upright RGB array of a decoded row: gray is repeated, alpha is dropped, the stored order is blue first."""
     x = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], row["channels"])
-    return np.repeat(x, 3, -1) if row["channels"] == 1 else np.ascontiguousarray(x[..., 2::-1])
+    x = np.repeat(x, 3, -1) if row["channels"] == 1 else np.ascontiguousarray(x[..., 2::-1])
+    return upright(x, row.get("orientation") or 1)
+
+
+def plain(b: pd.DataFrame) -> pd.DataFrame:
+    """A batch with None for missing values."""
+    return b.astype(object).where(b.notna(), None)
 
 
 def map_images(decoded: DataFrame, f: Callable[[np.ndarray], list], schema: str, column: str = "value") -> DataFrame:
@@ -49,16 +97,16 @@ def map_images(decoded: DataFrame, f: Callable[[np.ndarray], list], schema: str,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for r in batch.to_dict("records") if r["height"] > 0]
+            rows = [r for r in plain(batch).to_dict("records") if r["height"] > 0]
             yield pd.DataFrame({"path": [r["path"] for r in rows], column: [f(pixels(r)) for r in rows]})
 
     return decoded.mapInPandas(run, f"path string, {column} {schema}")
 
 
-def prepare(spark: SparkSession, roots: list[str], min_side: int = 96, hash_most: int = 6, seed: int = 0, draw: str = "numpy") -> tuple[DataFrame, DataFrame]:
+def prepare(spark: SparkSession, roots: list[str], min_side: int = 96, hash_most: int = 6, seed: int = 0, draw: str = "md5", cache: str | None = None) -> tuple[DataFrame, DataFrame]:
     """From image trees to a manifest (``path, source, orig, group, split``) and the ingest counters.
 
-    Scan, drop unusable, small and repeated files, hash, link near-duplicates and copies of one photo, number the
+    ``orig`` is the file, ``path`` its place in the cache (:func:`write_cache`), or the file if there is none. Scan, drop unusable, small and repeated files, hash, link near-duplicates and copies of one photo, number the
     groups by first appearance, and split them so that no group is in two splits.
     """
     from ..functions.hashing import hashes, near_pairs
@@ -70,14 +118,15 @@ def prepare(spark: SparkSession, roots: list[str], min_side: int = 96, hash_most
     status = ingest.classify(known, F.col("md5"), F.least("height", "width"), F.col("height") > 0, F.col("pos"), min_side)
     kept = ingest.require_rows(status.where("status = 'kept'"))
     blocks = map_images(decode(spark, *roots).join(kept.select("path"), "path", "left_semi"), images.low_block, "array<double>", "block")
-    rows = kept.join(blocks, "path").select("pos", "path", "source", hashes("block").alias("hash"))
+    rows = kept.join(blocks, "path").select("pos", "path", "source", "md5", hashes("block").alias("hash"))
     from ..checkpoints import cut
 
     rows = cut(rows.withColumn("key", ingest.source_key(F.col("source"), F.col("path"))))
-    edges = near_pairs(rows, hash_most, spare=2).unionByName(key_edges(rows, "key"))
+    edges = near_pairs(rows, hash_most).unionByName(key_edges(rows, "key"))
     grouped = cut(dense_groups(group_roots(rows, edges)))
     split = split_groups(grouped, seed, draw=draw)
-    manifest = rows.join(grouped, "pos").join(split, "group").select("pos", "path", "source", F.col("path").alias("orig"), F.col("group").cast("bigint").alias("group"), "split")
+    stored = F.concat(F.lit(f"{cache.rstrip('/')}/"), "md5") if cache else F.col("path")
+    manifest = rows.join(grouped, "pos").join(split, "group").select("pos", stored.alias("path"), "source", F.col("path").alias("orig"), F.col("group").cast("bigint").alias("group"), "split")
     return manifest, ingest.counters(status)
 
 
@@ -91,9 +140,14 @@ def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> D
     return rows if split is None else rows.where(F.col("split") == split)
 
 
-def write_cache(decoded: DataFrame, short: int, path: str) -> None:
-    """Resized pixels by path; paths that are stored already are left out, so a rerun adds only what is new."""
+def write_cache(decoded: DataFrame, short: int, path: str, manifest: DataFrame | None = None) -> None:
+    """Resized upright pixels by path (a manifest's, else the file's); paths that are stored already are left out.
+
+    The rows are like those of :func:`decode`, so whatever reads decoded files reads the cache as well.
+    """
     spark = decoded.sparkSession
+    if manifest is not None:
+        decoded = decoded.withColumnRenamed("path", "orig").join(manifest.select("orig", "path"), "orig").drop("orig")
     try:
         decoded = decoded.join(spark.read.parquet(path).select("path"), "path", "left_anti")
     except Exception as e:  # no cache yet
@@ -102,9 +156,13 @@ def write_cache(decoded: DataFrame, short: int, path: str) -> None:
 
     def small(image: np.ndarray) -> dict:
         out = images.resize_short(image, short)
-        return {"height": out.shape[0], "width": out.shape[1], "pixels": out.tobytes()}
+        return {"height": out.shape[0], "width": out.shape[1], "channels": 3, "pixels": out[..., ::-1].tobytes()}
+
+    map_images(decoded, small, "struct<height:int,width:int,channels:int,pixels:binary>", "image").select("path", "image.*").write.mode("append").parquet(path)
 
-    map_images(decoded, small, "struct<height:int,width:int,pixels:binary>", "image").select("path", "image.*").write.mode("append").parquet(path)
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def write_index(rows: DataFrame, path: str) -> None:
@@ -122,6 +180,16 @@ def write_results(headline: DataFrame, path: str) -> None:
     headline.write.mode("overwrite").json(path)
 
 
+def write_document(spark: SparkSession, content: dict, path: str) -> None:
+    """One JSON document (a configuration, a history, a result, efficiency figures) in a folder of that name."""
+    row = spark.createDataFrame([(json.dumps(content, ensure_ascii=False),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """One row per result file, named by its stem."""
     return spark.read.option("multiLine", True).json(path).withColumn("model", ingest.stem(F.input_file_name()))

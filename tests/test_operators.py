@@ -148,5 +148,9 @@ def test_specs_count_and_never_pair_with_themselves(spark):
     assert {r.kind: r["count"] for r in p.groupBy("kind").count().collect()} == {"genuine": 10, "impostor_random": 10, "impostor_samepal": 10}
     named = p.join(s.select(F.col("spec_id").alias("a"), F.col("label").alias("la")), "a").join(s.select(F.col("spec_id").alias("b"), F.col("label").alias("lb")), "b")
     assert named.where("(kind = 'genuine') <> (la = lb)").count() == 0 and named.count() == 30
+    rows = {r.spec_id: r for r in s.collect()}
+    same = [(rows[r.a], rows[r.b]) for r in p.where("kind = 'impostor_samepal'").collect()]
+    assert len(same) == 10 and all(a.pal_seed == b.pal_seed is not None and a.round == b.round and not a.aug and not b.aug for a, b in same)
+    assert sorted(r.photo for r in rows.values() if r.role == "rephoto") == ["a", "b", "c"]
     with pytest.raises(ValueError):
         specs.build(spark.range(2).select(F.col("id").alias("label")))
