@@ -50,7 +50,7 @@ LIST_MOST = 64
 CHUNK = 1 << 18
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 BUCKET_BITS = 16
-FEW_LINKS = 64
+FEW_LINKS = 16
 SLACK = 1e-6
 
 
@@ -274,36 +274,46 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 def _with_parts(shared: DataFrame, found: DataFrame) -> DataFrame:
     """``shared`` with the component (``part``) of each node under the links ``found``, without lists of one part."""
-    parts = components(found)
-    rows = shared.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
-    whole = Window.partitionBy("key")
-    return cut(rows.withColumn("low", F.min("part").over(whole)).withColumn("high", F.max("part").over(whole)).where("low < high").drop("low", "high"))
+    rows = shared.join(components(found), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return cut(rows.join(mixed.select("key"), "key", "left_semi"))
 
 
-def _fits(n: Column, m: Column, similarity: float) -> Column:
-    return F.least(n, m) >= F.greatest(n, m) * similarity - SLACK
+def _can(n: Column, at: Column, m: Column, to: Column, similarity: float) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` with a first common shingle at these places can be that similar.
+
+    What they have in common is at most what is left in the shorter rest from there on.
+    """
+    sizes = F.least(n, m) >= F.greatest(n, m) * similarity - SLACK
+    return sizes & (F.least(n - at, m - to) >= _overlap(n, m, similarity))
+
+
+def _met(one: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of a row of ``one`` (``node1, n1, at1, part1``) and one of ``rows`` of its list that can be similar."""
+    met = one.join(rows, "key").where("part1 <> part").where(_can(F.col("n1"), F.col("at1"), F.col("n"), F.col("at"), similarity))
+    return met.select(F.greatest("node", "node1").alias("a"), F.least("node", "node1").alias("b")).distinct()
 
 
 def _to_leaders(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """``a, b``: the members of each list and its leader of this turn, where they are of different parts."""
-    lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "part")).over(Window.partitionBy("key"))
-    met = rows.withColumn("lead", lead).where(F.col("part") != F.col("lead.part")).where(_fits(F.col("n"), F.col("lead.n"), similarity))
-    return met.select(F.greatest("node", F.col("lead.node")).alias("a"), F.least("node", F.col("lead.node")).alias("b")).distinct()
+    """``a, b``: the members of each list and its leader of this turn, where they are of different parts.
+
+    The first leader is the member with the fewest rarer shingles of its own, so the one that the others are changed
+    copies of; after it, others by a hash that goes by the turn.
+    """
+    rank = (F.col("at") / F.col("n")) if not turn else F.xxhash64(F.lit(turn), "node")
+    first = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "at", "part")).alias("lead"))
+    return _met(first.select("key", *(F.col(f"lead.{c}").alias(f"{c}1") for c in ("node", "n", "at", "part"))), rows, similarity)
 
 
 def _across(rows: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: all pairs of a list's members of different parts that their sizes and places do not rule out.
 
     Members of a list's largest part meet only those of other parts, so a large group that is one part already costs
-    its number of members, not the square of it. What two sets have in common is at most what is left in the shorter
-    rest from their common shingle on.
+    its number of members, not the square of it.
     """
-    counted = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "part")))
-    counted = counted.withColumn("most", F.max(F.struct("size", "part")).over(Window.partitionBy("key"))["part"])
-    one = counted.where("part <> most").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "part")))
-    met = one.join(rows, "key").where("part1 <> part").where(_fits(F.col("n1"), F.col("n"), similarity))
-    met = met.where(F.least(F.col("n1") - F.col("at1"), F.col("n") - F.col("at")) >= _overlap(F.col("n1"), F.col("n"), similarity))
-    return met.select(F.greatest("node", "node1").alias("a"), F.least("node", "node1").alias("b")).distinct()
+    most = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+    one = rows.join(most, "key").where("part <> most").select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "part")))
+    return _met(one, rows, similarity)
 
 
 def _by_fingerprint(made: DataFrame, list_most: int) -> DataFrame:
@@ -320,7 +330,7 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
 
     ``made`` has the rows of :func:`sketches`, ``docs`` the texts. Links come in three steps, each verified on whole
     shingle sets: (1) the components of the SimHash index; (2) in each list of the prefix filter, the members to the
-    list's leader, for as many turns as give many links; (3) all pairs of a list that are in different components by
+    list's leader, for as many turns as find many links; (3) all pairs of a list that are in different components by
     then and that sizes and places cannot rule out. Steps 1 and 2 only spare step 3 the pairs of large groups: the
     prefix filter alone misses no pair, and no list of any length is cut.
     """
@@ -336,18 +346,16 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = cut(shingle_sets(texts).repartition(spread, "node").dropDuplicates(["node"]))
     release(docs.sparkSession)
-    found, turn = cut(verified(first, sets, similarity)), 0
-    rows = _with_parts(shared, found)
-    while not rows.isEmpty():
-        met = cut(_to_leaders(rows, turn, similarity))
+    rows, found, turn = cut(shared.withColumn("part", F.col("node"))), None, 0
+    while True:
+        met = _to_leaders(rows, turn, similarity)
+        met = cut(met if turn else met.unionByName(first).distinct())
         near = cut(verified(met, sets, similarity))
-        found, turn, linked = found.unionByName(near), turn + 1, near.count()
-        if linked:
-            rows = _with_parts(rows.drop("part"), found)
+        found, tested, linked, turn = near if found is None else found.unionByName(near), met.count(), near.count(), turn + 1
+        rows = _with_parts(rows.drop("part"), found)
         release(docs.sparkSession)
-        if linked * FEW_LINKS <= met.count():
-            break
-    return found.unionByName(verified(cut(_across(rows, similarity)), sets, similarity))
+        if linked * FEW_LINKS <= tested:
+            return found.unionByName(verified(cut(_across(rows, similarity)), sets, similarity))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, list_most: int) -> tuple[DataFrame, DataFrame]:
