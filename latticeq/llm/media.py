@@ -1,7 +1,13 @@
 """Media columns: Netpbm and BMP images to numpy arrays, area resizing, NPY tiles and difference hashes.
 
-Defined cases: null bytes decode to None; bytes that are no image raise ``ValueError`` in the scalar functions and
-give null columns in :func:`decode_column`; a null or empty text is stored as one row of 64 zero samples.
+Samples come out as their format says, scaled to the full range of a byte, or of 16 bits where the format has more
+than 255 levels; :func:`area_resize` and the tiles keep that type.
+
+Defined cases: null bytes decode to None; bytes that are no image, that end too early or that name a size, a range
+or a palette entry beyond their bounds raise ``ValueError`` in the scalar functions and give null columns in
+:func:`decode_column`; a null or empty text is stored as one row of 64 zero samples, a long one as a tall image;
+equal texts, repeated rows and null ids give equal results, one row for each; an empty table gives an empty table;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +25,20 @@ from .common import arrow_rows
 ROW_SAMPLES = 64
 
 
+def _number(digits: bytes) -> int:
+    if len(digits) > 9:
+        raise ValueError("Netpbm: a number is out of bounds")
+    return int(digits)
+
+
+def _full_range(samples: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to ``top`` as bytes or, beyond 255 levels, 16-bit numbers of the whole range."""
+    if samples.size and samples.max() > top:
+        raise ValueError("Netpbm: a sample is out of range")
+    most, kind = (255, np.uint8) if top < 256 else (65535, np.uint16)
+    return samples.astype(kind) if top == most else ((samples.astype(np.uint64) * most + top // 2) // top).astype(kind)
+
+
 def _header(data: bytes, fields: int) -> tuple[list[int], int]:
     """Numbers of a Netpbm header behind its magic; comments run from ``#`` to the line's end."""
     at, found = 2, []
@@ -32,13 +52,13 @@ def _header(data: bytes, fields: int) -> tuple[list[int], int]:
             stop += 1
         if stop == at:
             raise ValueError("Netpbm: a number is missing")
-        found.append(int(data[at:stop]))
+        found.append(_number(data[at:stop]))
         at = stop
     return found, at
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3) arrays; bitmaps become 0 (black) and 255."""
+    """P1 to P6 as (height, width) or (height, width, 3) arrays in the full range; bitmaps become 0 (black) and 255."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not a Netpbm image")
@@ -54,10 +74,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("Netpbm: samples are missing")
         return (255 * (1 - np.array(bits[:n], np.uint8))).reshape(shape)
     if kind in (b"P2", b"P3"):
-        flat = np.array(b" ".join(line.split(b"#")[0] for line in data[at:].split(b"\n")).split()[:n], dtype=np.int64)
-        if len(flat) < n:
+        words = b" ".join(line.split(b"#")[0] for line in data[at:].split(b"\n")).split()[:n]
+        if len(words) < n or not all(map(bytes.isdigit, words)):
             raise ValueError("Netpbm: samples are missing")
-        return flat.astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
+        return _full_range(np.array([_number(x) for x in words], np.int64), top).reshape(shape)
     body = memoryview(data)[at + 1 :]
     if kind == b"P4":
         stride = (w + 7) // 8
@@ -68,8 +88,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     wide = np.dtype(np.uint8 if top < 256 else ">u2")
     if len(body) < n * wide.itemsize:
         raise ValueError("Netpbm: samples are missing")
-    out = np.frombuffer(body, wide, n).reshape(shape)
-    return out if top < 256 else out.astype(np.uint16)
+    return _full_range(np.frombuffer(body, wide, n), top).reshape(shape)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -78,24 +97,51 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (w, h) + samples.tobytes()
 
 
+def encode_ppm(rgb: np.ndarray) -> bytes:
+    """A binary pixmap (P6) of 8-bit samples."""
+    h, w, _ = rgb.shape
+    return b"P6\n%d %d\n255\n" % (w, h) + np.ascontiguousarray(rgb).tobytes()
+
+
+def _masked(samples: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as bytes of the full range."""
+    low = (mask & -mask).bit_length() - 1 if mask else 0
+    most = mask >> low
+    if not most or most & (most + 1):
+        raise ValueError("BMP: a mask has no bits or gaps")
+    part = (samples & np.uint32(mask)) >> np.uint32(low)
+    return ((part.astype(np.uint64) * 255 + most // 2) // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8 (palette), 24 or 32 bits as (height, width, 3) RGB."""
+    """Uncompressed BMP of 1, 4, 8 (palette), 16, 24 or 32 bits, with masks or without, as (height, width, 3) RGB."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, size, w, h, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
     used = struct.unpack_from("<I", data, 46)[0]
-    if packing not in (0, 3) or w <= 0 or not h or depth not in (1, 4, 8, 24, 32):
+    masks = [0x7C00, 0x3E0, 0x1F] if depth == 16 else [0xFF0000, 0xFF00, 0xFF]
+    if packing in (3, 6) and depth in (16, 32) and len(data) >= 66:
+        masks = list(struct.unpack_from("<III", data, 54))
+    elif packing or depth not in (1, 4, 8, 16, 24, 32):
         raise ValueError("BMP: this kind is not supported")
+    if size < 40 or w <= 0 or not h:
+        raise ValueError("BMP: size is out of bounds")
     stride, rows = (w * depth + 31) // 32 * 4, abs(h)
     if len(data) < start + stride * rows:
         raise ValueError("BMP: samples are missing")
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if depth <= 8:
-        colors = np.frombuffer(data, np.uint8, 4 * (used or 1 << depth), 14 + size).reshape(-1, 4)
+        held = min(used or 1 << depth, 1 << depth, (len(data) - 14 - size) // 4)
+        colors = np.frombuffer(data, np.uint8, 4 * max(held, 0), 14 + size).reshape(-1, 4)
         index = raw if depth == 8 else np.unpackbits(raw, axis=1) if depth == 1 else np.stack((raw >> 4, raw & 15), 2).reshape(rows, -1)
+        if index[:, :w].max() >= len(colors):
+            raise ValueError("BMP: a palette entry is missing")
         out = colors[index[:, :w]][:, :, 2::-1]
+    elif depth == 24:
+        out = raw[:, : 3 * w].reshape(rows, w, 3)[:, :, ::-1]
     else:
-        out = raw[:, : w * depth // 8].reshape(rows, w, depth // 8)[:, :, 2::-1]
+        samples = np.ascontiguousarray(raw).view("<u2" if depth == 16 else "<u4")[:, :w].astype(np.uint32)
+        out = np.stack([_masked(samples, m) for m in masks], 2)
     return np.ascontiguousarray(out[::-1] if h > 0 else out)
 
 
@@ -127,7 +173,7 @@ def _area(samples: np.ndarray, out: int) -> np.ndarray:
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area resizing by integral images, one axis after the other, so that memory stays near the image's own."""
     narrow = np.swapaxes(_area(np.swapaxes(image, 0, 1), width), 0, 1)
-    return np.clip(np.rint(_area(narrow, height)), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(_area(narrow, height)), 0, np.iinfo(image.dtype).max).astype(image.dtype)
 
 
 def gray(image: np.ndarray) -> np.ndarray:
@@ -173,11 +219,27 @@ def decode_column(images: DataFrame, id_col: str, media_col: str, side: int = 32
     return images.selectExpr(f"cast(`{id_col}` as bigint) AS id", f"`{media_col}` AS media").mapInArrow(arrow_rows(lambda: work, schema), "id bigint, height bigint, width bigint, tile binary, dhash string")
 
 
+def write_tiles(images: DataFrame, path: str, id_col: str = "doc_id", media_col: str = "media", side: int = 32) -> DataFrame:
+    """Decode a column of images and store what :func:`decode_column` gives, the NPY tiles among it, as Parquet."""
+    decode_column(images, id_col, media_col, side).write.mode("overwrite").parquet(path)
+    return images.sparkSession.read.parquet(path)
+
+
+KINDS = ("pgm", "ppm", "bmp")
+
+
 def text_to_media(text: str | None) -> tuple[bytes, int]:
-    """A whole text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a graymap 64 samples wide."""
+    """A whole text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as an image; and their number.
+
+    The kind goes by the payload's CRC-32: a graymap 64 samples wide or, where the payload fills rows of 64 colors, a
+    pixmap or a bitmap.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     padded = raw + bytes(-len(raw) % ROW_SAMPLES or (0 if raw else ROW_SAMPLES))
-    return encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, ROW_SAMPLES)), len(raw)
+    samples, kind = np.frombuffer(padded, np.uint8), KINDS[zlib.crc32(padded) % 3]
+    if kind == "pgm" or len(padded) % (3 * ROW_SAMPLES):
+        return encode_pgm(samples.reshape(-1, ROW_SAMPLES)), len(raw)
+    return (encode_ppm if kind == "ppm" else encode_bmp)(samples.reshape(-1, ROW_SAMPLES, 3)), len(raw)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,20 +256,22 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def describe(stored: DataFrame, side: int = 32) -> DataFrame:
     """Read stored media back: digests of the samples and of the stored form, and a feature string.
 
-    The feature is the difference hash, a colon, and the CRC-32 of the NPY tile; equal texts have equal features.
+    The feature is the difference hash, a colon, and the CRC-32 of the NPY tile, which is in ``tile`` itself; equal
+    texts have equal features.
     """
-    kinds = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
-    schema = pa.schema([(n, pa.int64() if k == "bigint" else pa.string()) for n, k in kinds])
+    kinds = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("tile", "binary")]
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, arrow[k]) for n, k in kinds])
 
     def one(media):
         image = decode_image(media)
         payload = np.ascontiguousarray(image).data.cast("B")
         small, bits = npy_bytes(area_resize(image, side, side)), difference_hash(image)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_SAMPLES:]), len(media), hashlib.sha256(media).hexdigest(), f"{bits:016x}:{zlib.crc32(small):08x}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_SAMPLES:]), len(media), hashlib.sha256(media).hexdigest(), f"{bits:016x}:{zlib.crc32(small):08x}", small
 
     def work(ids, sizes, media):
         rows = [one(m) for m in media]
-        return [ids, sizes, *([r[k] for r in rows] for k in range(6))]
+        return [ids, sizes, *([r[k] for r in rows] for k in range(7))]
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(arrow_rows(lambda: work, schema), ", ".join(f"{n} {k}" for n, k in kinds))
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import json
+import struct
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from latticeq.llm import bpe, media, packing, quality_model, quality_rules
+from latticeq.llm.common import shared_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -223,11 +225,69 @@ def test_netpbm_and_bmp():
     wide = rng.integers(0, 60000, (5, 7)).astype(np.uint16)
     assert np.array_equal(media.decode_netpbm(b"P5 7 5 65535\n" + wide.astype(">u2").tobytes()), wide)
     assert np.array_equal(media.decode_bmp(media.encode_bmp(c)), c)
-    for bad in (b"", b"P5", b"P5 2 2 255\nab", b"BM", b"P9 1 1 1", b"P6 # x", b"BM" + bytes(60)):
+    for bad in (b"", b"P5", b"P5 2 2 255\nab", b"BM", b"P9 1 1 1", b"P6 # x", b"BM" + bytes(60), *damaged()):
         with pytest.raises(ValueError):
             media.decode_image(bad)
 
 
+def paletted(depth, index, colors, used=0):
+    h, w = index.shape
+    row = {1: lambda r: np.packbits(r), 4: lambda r: np.array([(a << 4) | b for a, b in zip(*[iter([*r, 0][: (w + 1) // 2 * 2])] * 2)], np.uint8), 8: lambda r: r}[depth]
+    body = b"".join((x := row(r.astype(np.uint8)).tobytes()) + bytes(-len(x) % 4) for r in index[::-1])
+    table = b"".join(bytes((b, g, r, 0)) for r, g, b in colors)
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 54 + len(table), 40, w, h, 1, depth, 0, len(body), 0, 0, used, 0) + table + body
+
+
+def masked(depth, masks, samples):
+    h, w = samples.shape
+    body = b"".join((x := r.astype("<u2" if depth == 16 else "<u4").tobytes()) + bytes(-len(x) % 4) for r in samples)
+    return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 66, 40, w, -h, 1, depth, 3, len(body), 0, 0, 0, 0) + struct.pack("<III", *masks) + body
+
+
+def damaged():
+    short = paletted(8, np.full((2, 2), 5), [(1, 2, 3)] * 4, 4)
+    return short, b"P2 1 1 255 " + b"9" * 40, b"P2 1 1 255 300", b"P2 2 1 255 1 x", b"P5 99999999999999999999 1 255\nx", masked(32, (0, 1, 2), np.zeros((1, 1))), masked(32, (5, 2, 8), np.zeros((1, 1)))
+
+
+def test_ranges_palettes_and_masks():
+    assert media.decode_netpbm(b"P2 3 1 15 0 7 15").tolist() == [[0, 119, 255]]
+    assert media.decode_netpbm(b"P5 2 1 1\n\x00\x01").tolist() == [[0, 255]]
+    wide = media.decode_netpbm(b"P5 2 1 1023\n" + np.array([0, 1023], ">u2").tobytes())
+    assert wide.tolist() == [[0, 65535]] and wide.dtype == np.uint16
+    deep = media.decode_netpbm(b"P5 16 16 65535\n" + np.arange(0, 65536, 256).astype(">u2").tobytes())
+    small = media.area_resize(deep, 4, 4)
+    assert small.dtype == np.uint16 and np.array_equal(small, np.rint(deep.reshape(4, 4, 4, 4).astype(float).mean((1, 3)))) and media.difference_hash(deep) != 0
+    rng = np.random.default_rng(3)
+    for depth in (1, 4, 8):
+        colors = [tuple(int(v) for v in c) for c in rng.integers(0, 256, (1 << depth, 3))]
+        index = rng.integers(0, 1 << depth, (3, 5))
+        assert np.array_equal(media.decode_bmp(paletted(depth, index, colors)), np.array(colors, np.uint8)[index])
+    five = rng.integers(0, 1 << 16, (2, 3))
+    got = media.decode_bmp(masked(16, (0xF800, 0x7E0, 0x1F), five))
+    assert np.array_equal(got[..., 1], [[round((v >> 5 & 63) * 255 / 63) for v in r] for r in five]) and np.array_equal(got[..., 2], [[round((v & 31) * 255 / 31) for v in r] for r in five])
+    odd = rng.integers(0, 1 << 32, (2, 3))
+    assert np.array_equal(media.decode_bmp(masked(32, (0xFF, 0xFF00, 0xFF0000), odd)), np.stack([odd & 255, odd >> 8 & 255, odd >> 16 & 255], -1))
+
+
+def test_every_kind_reaches_the_store(spark):
+    texts = [f"{k} " + "x" * (64 * 3 * (1 + k % 3) - len(f"{k} ")) for k in range(40)] + ["short"]
+    stored = media.store_texts(frame(spark, texts))
+    rows = stored.collect()
+    assert {bytes(r.media[:2]) for r in rows} == {b"P5", b"P6", b"BM"}
+    for r in media.describe(stored).collect():
+        raw = texts[r.doc_id].encode()
+        padded = raw + bytes(-len(raw) % 64)
+        assert (r.payload_bytes, r.payload_sha256) == (len(padded), hashlib.sha256(padded).hexdigest())
+        tile = np.load(io.BytesIO(r.tile))
+        assert tile.shape[:2] == (32, 32) and r.feature.endswith(f":{zlib.crc32(r.tile):08x}")
+    path = shared_path(spark, "tiles")
+    kept = media.write_tiles(stored.selectExpr("*", "doc_id AS tile"), path, side=8)
+    image = media.decode_image(bytes(rows[7].media))
+    assert np.array_equal(np.load(io.BytesIO(kept.where(f"id = {rows[7].doc_id}").first().tile)), media.area_resize(image, 8, 8))
+    pics = spark.createDataFrame([(k, x) for k, x in enumerate(damaged())], "i bigint, m binary")
+    assert all(r.tile is None for r in media.decode_column(pics, "i", "m").collect())
+
+
 def test_area_resize_keeps_the_mean_and_equals_brute_force():
     x = np.random.default_rng(1).integers(0, 256, (12, 18), np.uint8)
     assert np.array_equal(media.area_resize(x, 4, 6), np.rint(x.reshape(4, 3, 6, 3).mean((1, 3))).astype(np.uint8))
