@@ -12,12 +12,16 @@ chunked framing decoded. Revisits take size and digest from the response with th
 
 Defined cases: null html is an empty payload; a null url is written as an empty one; null page ids are left out of
 the header and read back as null, and never become the response of a revisit; repeated rows that hold the largest
-page id are responses all; records that break a rule are reported in ``fault`` with no payload.
+page id are responses all; other columns, whatever their names, are not looked at; an empty table gives none.
+A record that breaks a rule comes back with ``fault`` saying which, and without a payload; what it still tells of
+itself is kept. Where a file's records cannot be told apart any more (a header without an end or a length, or a
+length that leads nowhere) one faulty row stands for it, and reading goes on at the next line that opens a record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +36,7 @@ SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 REVISIT_LEAST = 1000
 FILE_RECORDS = 4000
+SALTS = 16
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -113,8 +118,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     body = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    owners = rows.where(F.col("size") >= REVISIT_LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(owners, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("owner"))
+    groups = rows.where(F.col("size") >= REVISIT_LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # pages are dealt by themselves, not by their digest, so that one payload's many copies do not meet in one task
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    owners = groups.select(F.col("digest").alias("__digest"), F.col("size").alias("__size"), "owner", salts.alias("__salt"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    joined = rows.withColumn("salt", salt).join(owners, (F.col("digest") == F.col("__digest")) & (F.col("size") == F.col("__size")) & (F.col("salt") == F.col("__salt")), "left")
+    revisit = ~F.col("page_id").eqNullSafe(F.col("owner"))
+    joined = joined.select("page_id", "url", F.when(F.col("owner").isNotNull() & revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", F.when(revisit, F.col("owner")).alias("owner"))
     schema = pa.schema([("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,28 +137,56 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     out.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of every record of one file, plain or gzip."""
-    if content[:2] == b"\x1f\x8b":
-        parts = []
-        while content:  # members may follow one another
-            inflate = zlib.decompressobj(31)
-            parts.append(inflate.decompress(content))
-            content = inflate.unused_data
-        content = b"".join(parts)
+def inflated(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of a plain or gzip file, and what is wrong with its compression; what came before that is kept."""
+    parts: list[bytes] = []
+    while content[:2] == b"\x1f\x8b":  # members may follow one another
+        inflate = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(content), 1 << 16):
+                parts.append(inflate.decompress(content[at : at + (1 << 16)]))
+                if inflate.eof:
+                    content = inflate.unused_data + content[at + (1 << 16) :]
+                    break
+            else:
+                return b"".join(parts), "gzip data are cut short"
+        except zlib.error as e:
+            return b"".join(parts), f"gzip: {e}"
+    return (b"".join(parts), "bytes after the gzip data" if content.strip(b"\0") else None) if parts else (content, None)
+
+
+OPENING = re.compile(rb"(?:^|\r\n)(?=WARC/1\.[01]\r\n)")
+
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (lower-case names), block and fault of every record of one file, plain or gzip."""
+    content, flaw = inflated(content)
     at = 0
     while at < len(content):
+        fields: dict[str, str] = {}
+        block, fault = b"", None
         stop = content.find(END, at)
         if content[at : at + 5] != b"WARC/" or stop < 0:
-            raise Fault("no record where one is due")
-        lines = content[at:stop].decode("utf-8", "surrogatepass").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        n = int(fields["content-length"])
-        block = content[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n + len(END)
-        if len(block) < n or content[at - len(END) : at] != END:
-            raise Fault("record is cut short")
-        yield fields, block
+            fault = "no record where one is due"
+        else:
+            lines = content[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            n = _number(fields.get("content-length"))
+            if n is None or n < 0:
+                fault = "content length is missing"
+            else:
+                block = content[stop + 4 : stop + 4 + n]
+                after = stop + 4 + n + len(END)
+                if len(block) < n or content[after - len(END) : after] != END:
+                    fault = "record is cut short"
+        yield fields, block, fault
+        if fault is None:
+            at = after
+        else:  # go on where the next record opens
+            opening = OPENING.search(content, at + 5)
+            at = opening.end() if opening else len(content)
+    if flaw:
+        yield {}, b"", flaw
 
 
 def reassemble(parts: list[tuple[int, bytes, int | None]]) -> bytes:
@@ -162,7 +201,8 @@ def reassemble(parts: list[tuple[int, bytes, int | None]]) -> bytes:
 
 
 def _number(text: str | None) -> int | None:
-    return None if text is None else int(text)
+    """A header's number; None if there is none or it is not one."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
 
 
 READ_FIELDS = [("page_id", "bigint"), ("url", "string"), ("record_type", "string"), ("digest", "string"), ("refers_to", "bigint"), ("payload", "binary"), ("fault", "string")]
@@ -171,14 +211,17 @@ _ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 def _described(fields: dict[str, str], block: bytes | None, fault: str | None = None) -> tuple:
     payload = None
-    if fault is None and fields["warc-type"] == "response":
+    if fault is None and fields.get("warc-type") == "response":
         try:
             payload = http_payload(block)
-            if hashlib.sha1(payload).hexdigest() != fields["warc-payload-digest"].removeprefix("sha1:"):
+            told = fields.get("warc-payload-digest")
+            if told is not None and told.startswith("sha1:") and hashlib.sha1(payload).hexdigest() != told.removeprefix("sha1:"):
                 payload, fault = None, "digest differs"
         except Fault as e:
             fault = str(e)
-    return _number(fields.get("x-page-id")), fields.get("warc-target-uri"), fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:"), _number(fields.get("x-refers-to-page-id")), payload, fault
+    if fault is None and "x-page-id" in fields and _number(fields["x-page-id"]) is None:
+        payload, fault = None, "page id is no number"
+    return _number(fields.get("x-page-id")), fields.get("warc-target-uri"), fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), _number(fields.get("x-refers-to-page-id")), payload, fault
 
 
 def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -186,8 +229,11 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, record_type, digest, refers_to, payload, fault`` of every response and revisit below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    """``page_id, url, record_type, digest, refers_to, payload, fault`` of every response and revisit below ``path``.
+
+    All files count, whatever their names, but those that begin with ``_`` or ``.``.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
     whole_schema = pa.schema([(n, _ARROW[k]) for n, k in READ_FIELDS])
     part_fields = [("origin", "string"), ("number", "bigint"), ("total", "bigint"), ("block", "binary"), ("head", "binary")]
     part_schema = pa.schema([(n, _ARROW[k]) for n, k in part_fields])
@@ -208,15 +254,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield _batches(held, schema)
 
     def whole(batches):
-        yield from gathered((_described(f, b) for c in contents(batches) for f, b in parse(c) if "warc-segment-number" not in f and f["warc-type"] in ("response", "revisit")), whole_schema)
+        def told(f: dict[str, str], fault: str | None) -> bool:
+            return fault is not None or "warc-segment-number" not in f and f.get("warc-type", "response") in ("response", "revisit")
+
+        yield from gathered((_described(f, b, fault) for c in contents(batches) for f, b, fault in parse(c) if told(f, fault)), whole_schema)
 
     def segments(batches):
         def rows():
             for content in contents(batches):
-                for f, block in parse(content):
-                    if "warc-segment-number" in f:
-                        head = None if f["warc-type"] == "continuation" else "\n".join(f"{k}:{v}" for k, v in f.items()).encode("utf-8", "surrogatepass")
-                        yield f.get("warc-segment-origin-id") or f["warc-record-id"], int(f["warc-segment-number"]), _number(f.get("warc-segment-total-length")), block, head
+                for f, block, fault in parse(content):
+                    if "warc-segment-number" in f and fault is None:
+                        head = None if f.get("warc-type") == "continuation" else "\n".join(f"{k}:{v}" for k, v in f.items()).encode("utf-8", "surrogatepass")
+                        yield f.get("warc-segment-origin-id") or f.get("warc-record-id") or "", _number(f["warc-segment-number"]) or 0, _number(f.get("warc-segment-total-length")), block, head
 
         yield from gathered(rows(), part_schema)
 
@@ -239,13 +288,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has its response's size."""
-    told = cut(found.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "digest", "refers_to"))
-    responses = told.where("record_type = 'response'")
-    sizes = responses.groupBy(F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
-    revisits = told.where("record_type = 'revisit'").join(sizes, "digest", "left")
-    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to")).unionByName(
-        revisits.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to, fault``; a revisit has its response's size.
+
+    Faulty records keep their fault and have no payload; a revisit without a sound response is at fault itself.
+    """
+    told = cut(found.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "digest", "refers_to", "fault"))
+    sound = F.col("fault").isNull()
+    responses = told.where(~(sound & F.col("record_type").eqNullSafe("revisit")))
+    sizes = responses.where(sound).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max("payload_bytes").alias("bytes"))
+    sizes = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = told.where(sound & (F.col("record_type") == "revisit")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = revisits.join(sizes, (F.col("digest") == F.col("__digest")) & (F.col("salt") == F.col("__salt")), "left")
+    lost = F.when(F.col("bytes").isNull(), "its response is missing")
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"), "fault").unionByName(
+        revisits.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", lost.alias("fault"))
     )
 
 
@@ -264,6 +320,6 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')
 o AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS owner FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN owner IS NULL OR owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN owner <> page_id THEN owner END AS refers_to
+  CASE WHEN owner <> page_id THEN owner END AS refers_to, NULL::VARCHAR AS fault
 FROM o
 """

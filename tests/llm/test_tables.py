@@ -1,6 +1,7 @@
 """Near-duplicates, personal data, chat, shards and archives against brute force."""
 
 import collections
+import gzip
 import hashlib
 import math
 import re
@@ -303,8 +304,35 @@ def test_broken_records():
     for broken in ([(1, b"a", None)], [(1, b"a", 3), (2, b"b", 3)], [(1, b"a", None), (3, b"b", 2)], [(1, b"a", None), (1, b"b", 2)]):
         with pytest.raises(warc.Fault):
             warc.reassemble(broken)
-    with pytest.raises(warc.Fault):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    assert [f for _, _, f in warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")] == ["record is cut short"]
+
+
+def test_damaged_files_are_reported_and_the_rest_is_read(spark, tmp_path):
+    def page(i, text=b"hello"):
+        return b"".join(r + warc.END for r in warc.records(i, "http://h", text, hashlib.sha1(text).hexdigest(), None, "2024-01-01T00:00:00Z", 400))
+
+    long = b"".join(b"%d " % k for k in range(300))
+    files = {
+        "a.warc": page(1) + page(2)[:-9] + page(3) + page(4, long),
+        "b.warc.gz": gzip.compress(page(5)) + gzip.compress(page(6)),
+        "c.warc.gz": gzip.compress(page(7) + page(8))[:-30],
+        "d.warc": page(9).replace(b"Content-Length: ", b"Content-Size: ") + page(10),
+        "e.warc": page(11).replace(b"WARC-Payload-Digest", b"X-Other") + page(12).replace(hashlib.sha1(b"hello").hexdigest().encode(), b"0" * 40) + page(13).replace(b"X-Page-Id: 13", b"X-Page-Id: many"),
+        "f.warc": b"garbage", "g.warc": b"", "h.warc.gz": b"\x1f\x8bjunk",
+        "i.warc": page(14, long).split(warc.END + b"WARC", 2)[0] + warc.END,
+        "j.warc": next(warc.records(15, "u", b"x" * 2000, "0" * 40, 99, "2024-01-01T00:00:00Z")) + warc.END,
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    sound = {r.page_id: bytes(r.payload) for r in rows if r.fault is None and r.record_type == "response"}
+    assert {1, 3, 4, 5, 6, 10, 11} <= set(sound) and sound[4] == long and not {2, 8, 9, 12, 13, 14} & set(sound)
+    faults = collections.Counter(r.fault for r in rows if r.fault)
+    for told in ("record is cut short", "content length is missing", "digest differs", "page id is no number", "no record where one is due", "total length differs"):
+        assert faults[told] >= 1, (told, faults)
+    assert sum(n for f, n in faults.items() if f.startswith("gzip")) == 2 and all(r.payload is None for r in rows if r.fault)
+    told = warc.resolve(warc.read_archives(spark, str(tmp_path))).collect()
+    assert sum(r.fault is not None for r in told) == sum(faults.values()) + 1 and [r.fault for r in told if r.page_id == 15] == ["its response is missing"]
 
 
 def test_archives_round_trip(spark):
