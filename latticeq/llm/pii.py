@@ -2,11 +2,13 @@
 
 1. Seeds. Four kinds are found by their form (email, ip, card, phone; the *base* spans), and a fifth by a cue word
    before it (``secret``: ``token = "..."`` and the like).
-2. Patterns. Each seed and each other identifier-like word (letters and digits, at least four digits) gives two
-   lexical patterns: what stands to its left, and its shape.
+2. Patterns. Each seed and each other identifier-like word (letters, digits and single separators between them, of
+   eight characters or more, four of them digits, of any length) gives two lexical patterns: what stands to its left,
+   and its shape.
 3. Graph. Patterns and the distinct strings they occur with make a bipartite graph. Spark scores it in rounds: a
    pattern is as sure as its strings are on average (with a prior against rare patterns), a string as its patterns
-   are together; seeds stay sure.
+   are together; seeds stay sure. Scores only rise from round to round; rounds go on until none rises by more than
+   ``STILL``.
 4. Discovery. Strings that a high-confidence pattern with enough distinct seeds vouches for become ``found`` spans.
 
 A base span never changes. Positions are code points, the end is exclusive.
@@ -15,7 +17,8 @@ The patterns are written so that Java matches them in linear time and without re
 start only where a leftmost match of the plain pattern can start.
 
 Defined cases: a null text is empty; rows with equal id and text share their spans; null ids keep theirs; equal
-spans of two kinds both count; an empty table gives an empty table.
+spans of two kinds both count; other columns, whatever their names, pass through :func:`redact` and are not looked at
+elsewhere; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_names, release
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "found")
@@ -36,14 +39,18 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-CANDIDATE = r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]{0,60}[0-9]){4})[A-Za-z0-9_]{8,64}+(?![A-Za-z0-9_])"
+#: A word with a digit, tried only where a word begins, so that no part of a text is read twice.
+CANDIDATE = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][-.:/])(?:[A-Za-z_]++[-.:/]?+)*+[0-9][A-Za-z0-9_]*+(?:[-.:/][A-Za-z0-9_]++)*+"
+LEAST_CHARS, LEAST_DIGITS = 8, 4
 CUE = r"(?:^|[^a-z])(?:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key|access-key|credential)\s*[=:]\s*[\"'(\[]?$"
 LEFT = r"(\S{1,24}\s*(?:[=:]\s*)?[\"'(\[]?)$"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-ROUNDS = 3
+STILL = 0.005
 SURE = 0.7
 LEAST_SEEDS = 5
 PRIOR = 2.0
+LEAST_TRUST = 0.05
+SALTS = 8
 
 
 def _digits(m: Column) -> Column:
@@ -120,6 +127,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def with_left(spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), _context(t, s).alias("left")))
 
+    def word(s: Column) -> Column:
+        return (F.length(s["text"]) >= LEAST_CHARS) & (F.length(_digits(s["text"])) >= LEAST_DIGITS)
+
+    d = d.withColumn("others", F.filter("others", word))
     return d.select("doc_id", _key(t).alias("key"), *(with_left(F.col(k)).alias(k) for k in [*KINDS, "others"]))
 
 
@@ -146,21 +157,31 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "s.kind", "s.start", "s.end", F.xxhash64(F.lower("s.text")).alias("instance"), F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("S:"), _shape(F.col("s.text")))).alias("patterns"))
 
 
-def score_graph(occ: DataFrame, rounds: int = ROUNDS, sure: float = SURE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """``instance`` of every string that is no seed and that a high-confidence pattern vouches for."""
-    edges = cut(occ.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("seed")))
-    strings = edges.groupBy("instance").agg(F.max("seed").alias("sure"))
-    for _ in range(rounds):
+def score_graph(occ: DataFrame, sure: float = SURE, least_seeds: int = LEAST_SEEDS, still: float = STILL) -> DataFrame:
+    """``instance`` of every string that is no seed and that a high-confidence pattern vouches for.
+
+    A pattern's rows are dealt by a salt as well, so that a shape that most strings have is no single task's.
+    """
+    salt = F.pmod(F.xxhash64(F.lit(3), "instance"), F.lit(SALTS)).cast("int")
+    edges = occ.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("seed"))
+    edges = cut(edges.withColumn("salt", salt))
+    seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+    strings, before = cut(seeds.withColumn("sure", F.col("seed")).withColumn("strong", F.lit(False))), None
+    while True:
         own = edges.join(strings.select("instance", "sure"), "instance")
         patterns = own.groupBy("pattern").agg((F.sum("sure") / (F.count("*") + PRIOR)).alias("trust"), F.sum("seed").alias("seeds"))
-        patterns = cut(patterns.where((F.col("trust") > 0.05) & (F.col("seeds") >= 1)))
-        back = edges.join(patterns, "pattern")
+        patterns = cut(patterns.where((F.col("trust") > LEAST_TRUST) & (F.col("seeds") >= 1)))
+        rise = F.max("trust") if before is None else F.max(F.col("trust") - F.coalesce("was", F.lit(0.0)))
+        moved = patterns if before is None else patterns.join(before, "pattern", "left")
+        if (moved.agg(rise).first()[0] or 0.0) <= still:
+            return strings.where((F.col("seed") == 0) & F.col("strong") & (F.col("sure") >= sure)).select("instance")
+        before = patterns.select("pattern", F.col("trust").alias("was"))
         strong = (F.col("trust") >= sure) & (F.col("seeds") >= least_seeds)
-        strings = edges.groupBy("instance").agg(F.max("seed").alias("seed")).join(
-            back.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("joint"), F.max(strong).alias("strong")), "instance", "left"
-        )
-        strings = strings.select("instance", "seed", F.greatest("seed", F.coalesce("joint", F.lit(0.0)) * 0.99).alias("sure"), F.coalesce("strong", F.lit(False)).alias("strong"))
-    return strings.where((F.col("seed") == 0) & F.col("strong") & (F.col("sure") >= sure)).select("instance")
+        back = edges.join(patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pattern", "salt"])
+        joint = back.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("joint"), F.max(strong).alias("strong"))
+        strings = seeds.join(joint, "instance", "left")
+        strings = cut(strings.select("instance", "seed", F.greatest("seed", F.coalesce("joint", F.lit(0.0)) * 0.99).alias("sure"), F.coalesce("strong", F.lit(False)).alias("strong")))
+        release(occ.sparkSession)
 
 
 def discovered(scanned: DataFrame) -> DataFrame:
@@ -196,11 +217,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     may = text.rlike("[0-9@]")
-    names, key, spans = docs.columns, free_name(docs.columns, "pii_key"), free_name(docs.columns, "pii_spans")
+    names = docs.columns
+    key, spans, told_id, told_key = free_names(names, "pii_key", "pii_spans", "pii_told_id", "pii_told_key")
     found = find(docs.where(may), id_col, text_col)
     flat = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))) for k in (*KINDS, "extra")))
-    told = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.sort_array(flat).alias(spans)).where(F.size(spans) > 0).dropDuplicates(["__id", "__key"])
-    some = docs.where(may).withColumn(key, _key(text)).join(told, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key")), "left")
+    told = found.select(F.col("doc_id").alias(told_id), F.col("key").alias(told_key), F.sort_array(flat).alias(spans)).where(F.size(spans) > 0).dropDuplicates([told_id, told_key])
+    some = docs.where(may).withColumn(key, _key(text)).join(told, F.col(f"`{id_col}`").eqNullSafe(F.col(told_id)) & (F.col(key) == F.col(told_key)), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

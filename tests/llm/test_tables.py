@@ -194,9 +194,78 @@ def test_bootstrapping_finds_what_seeds_vouch_for(spark):
     assert not rows[len(texts) - 2].extra and not rows[len(texts) - 1].extra
 
 
+def brute_words(text):
+    """Identifier-like words by plain scanning: letters, digits, underscores, single separators between them."""
+    out, at, n = [], 0, len(text)
+
+    def plain(c):
+        return c.isascii() and (c.isalnum() or c == "_")
+
+    while at < n:
+        if not plain(text[at]):
+            at += 1
+            continue
+        end = at
+        while end < n and (plain(text[end]) or text[end] in "-.:/" and end + 1 < n and plain(text[end + 1]) and plain(text[end - 1])):
+            end += 1
+        if end - at >= 8 and sum(c.isdigit() for c in text[at:end]) >= 4:
+            out.append((at, end))
+        at = end
+    return out
+
+
+def test_words_of_any_length_and_with_separators(spark):
+    rng = np.random.default_rng(4)
+    parts = ["123-45-6789", "ab", "12", "_", "-", ".", "--", " ", "x" * 70, "9" * 80, "é", "/", ":", "A1b2", "\n", '"']
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 12)))) for _ in range(800)] + ["a-" * 50_000, "a--" * 50_000, "1-" * 50_000, "a" * 200_000, "a" * 200_000 + "1234", "token = \"" + "k1" * 4_000 + '"']
+    for r in pii.scan(frame(spark, texts)).select("doc_id", "others").collect():
+        assert [(s.start, s.end) for s in r.others] == brute_words(texts[r.doc_id]), texts[r.doc_id][:99]
+    found = pii.find(frame(spark, ['x token = "' + "a1" * 40 + '" y', "password: 123-45-6789."])).orderBy("doc_id").collect()
+    assert [[(s.kind, s.start, s.end) for s in r.extra] for r in found] == [[("secret", 11, 91)], [("secret", 10, 21)]]
+
+
+def brute_scores(rows):
+    """Strings that patterns vouch for; ``rows`` are (string, seed, patterns)."""
+    edges = {(p, s) for s, _, ps in rows for p in ps}
+    seeds = {s: max(float(k) for t, k, _ in rows if t == s) for s, _, _ in rows}
+    seed_edges = {(p, s) for s, k, ps in rows if k for p in ps}
+    sure, strong, was = dict(seeds), dict.fromkeys(seeds, False), {}
+    while True:
+        trust, count = {}, {}
+        for p in {p for p, _ in edges}:
+            own = [s for q, s in edges if q == p]
+            value, n = sum(sure[s] for s in own) / (len(own) + 2.0), sum((p, s) in seed_edges for s in own)
+            if value > 0.05 and n >= 1:
+                trust[p], count[p] = value, n
+        if max((v - was.get(p, 0.0) for p, v in trust.items()), default=0.0) <= 0.005:
+            return {s for s in seeds if not seeds[s] and strong[s] and sure[s] >= 0.7}
+        was = trust
+        for s in seeds:
+            mine = [p for p, t in edges if t == s and p in trust]
+            sure[s] = max(seeds[s], 0.99 * (1 - math.prod(1 - min(trust[p], 0.999) for p in mine)))
+            strong[s] = any(trust[p] >= 0.7 and count[p] >= 5 for p in mine)
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    sizes = []
+    for turn in range(3):
+        rows = []
+        for k in range(160):
+            own = int(rng.integers(0, 90))
+            patterns = [f"L:{own % 7 if rng.random() < 0.8 else rng.integers(0, 12)}", f"S:{own % 4}"]
+            rows.append((own, bool(own % 7 < 3 + turn and own % 5), patterns))
+        df = spark.createDataFrame([(s, "card" if k else None, p) for s, k, p in rows], "instance bigint, kind string, patterns array<string>")
+        want = brute_scores(rows)
+        assert {r.instance for r in pii.score_graph(df).collect()} == want
+        sizes.append(len(want))
+    assert max(sizes) > 0
+    assert pii.score_graph(df.where("false")).count() == 0
+
+
 def test_redact(spark, odd):
     texts = ["mail a@b.c, call +1 (499) 555-6503 é", 'x token = "0123456789abcdef0123" y', PROSE, "1.2.3.4@h.io and 1.2.3.4"]
-    docs = frame(spark, texts).unionByName(odd).selectExpr("*", "doc_id AS key", "text AS extra")
+    docs = frame(spark, texts).unionByName(odd).selectExpr("*", "doc_id AS key", "text AS extra", "1 AS pii_key", "2 AS __id", "3 AS `a.b`")
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     got = {r.extra: r.text for r in out.collect()}
