@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..checkpoints import checkpoint_root, cut, release
 
-__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "free_names", "in_slices", "release", "shared_path"]
+__all__ = ["arrow_rows", "checkpoint_root", "column_index", "cut", "free_name", "free_names", "in_slices", "map_rows", "numbered", "release", "remove", "shared_path"]
 
 SLICE_ROWS = 128
 
@@ -20,6 +20,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores put before it until no column in ``taken`` has that name (ignoring case)."""
     lower = {c.lower() for c in taken}
@@ -43,6 +49,17 @@ def column_index(names: list[str], wanted: str) -> int:
     return [n.lower() for n in names].index(wanted.lower())
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with its columns named ``c0, c1, ...``: Arrow functions take no names with dots in them."""
+    return rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``run`` over the Arrow batches of ``rows``, which keep their columns and types; names may be any."""
+    plain = numbered(rows)
+    return plain.mapInArrow(run, plain.schema).toDF(*rows.columns)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of few rows, so that long texts do not pile up as Python strings."""
     for batch in batches:

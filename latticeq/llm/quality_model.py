@@ -1,30 +1,32 @@
 """Compression classifier: zstandard dictionaries of good and of bad text, calibrated to a probability.
 
 Two dictionaries are trained, one from labelled good texts and one from labelled bad texts. A text is compressed
-whole with each of them, and without any; the difference of the two sizes, normalised by size, is what tells good
-from bad. A logistic regression over that difference and the normalised sizes, fitted on labelled texts that the
-dictionaries have not seen, turns it into the probability of label 1.
+whole with each of them; the difference of the two sizes, over the text's own size, is the only thing that a score
+looks at. A logistic curve over it, fitted on labelled texts that the dictionaries have not seen, turns it into the
+probability of label 1.
 
 The model is fitted on a bounded sample: at most ``dictionary_docs + calibration_docs`` labelled documents of each
-class, of at most ``max_chars`` characters each, those with the least hash of their id. Rows whose
+class, of at most ``max_chars`` characters each, those with the least hash of their id; no other text is collected. Rows whose
 ``crc32(doc_id as text) mod 5`` is 0 are held out and never looked at. Scoring covers every whole text.
 
 Defined cases: null and empty texts get the share of good labels as their score; with fewer than
 ``least_per_class`` usable labelled texts of a class every score is that share (0.5 without labels); contradicting
-labels of one id count as 1; labels other than 0 and 1 are ignored.
+labels of one id count as 1; labels other than 0 and 1 are ignored; of rows that repeat an id the text with the
+least hash is the labelled one; other columns are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, column_index, in_slices
+from .common import arrow_rows, column_index, in_slices, map_rows
 
 THRESHOLD = 0.3
 
@@ -35,51 +37,42 @@ class Settings:
     calibration_docs: int = 900
     max_chars: int = 20_000
     dictionary_bytes: int = 65_536
-    level: int = 3
-    penalty: float = 0.02
+    level: int = 9
+    penalty: float = 1e-4
     least_per_class: int = 16
 
 
 @dataclass
 class Model:
-    """Dictionaries, the features' scale and the weights; ``prior`` is the score of a text without content."""
+    """Dictionaries and the curve ``(intercept, slope)``; ``prior`` is the score of a text without content."""
 
     prior: float = 0.5
     level: int = 3
     good: bytes = b""
     bad: bytes = b""
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    curve: tuple[float, float] | None = None
 
-    def sizer(self):
-        """``f(bytes) -> features``; the compressors are made once."""
+    def measure(self):
+        """``f(bytes) -> normalised size difference``, above 0 where the good dictionary helps more."""
         import zstandard
 
-        def one(data: bytes | None):
-            kind = {} if data is None else {"dict_data": zstandard.ZstdCompressionDict(data)}
-            return zstandard.ZstdCompressor(level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False, **kind)
-
-        good, bad, plain = one(self.good), one(self.bad), one(None)
-
-        def features(data: bytes) -> tuple[float, ...]:
-            n, g, b, p = len(data) + 1, len(good.compress(data)), len(bad.compress(data)), len(plain.compress(data))
-            d = b - g
-            return d / max(b, g), d / n, g / n, b / n, p / n, (p - g) / n, float(np.log(n)), d / max(b, g) * float(np.log(n))
+        def one(data: bytes):
+            return zstandard.ZstdCompressor(level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(data))
 
-        return features
+        good, bad = one(self.good), one(self.bad)  # made once
+        return lambda data: (len(bad.compress(data)) - len(good.compress(data))) / (len(data) + 1)
 
     def scorer(self):
         """``f(text) -> probability of label 1``."""
-        if not len(self.weights):
+        if self.curve is None:
             return lambda text: self.prior
-        features = self.sizer()
+        difference, (base, slope) = self.measure(), self.curve
 
         def score(text: str | None) -> float:
             if not text:
                 return self.prior
-            x = (np.array(features(text.encode("utf-8", "surrogatepass"))) - self.mean) / self.scale
-            return float(1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30))))
+            z = base + slope * difference(text.encode("utf-8", "surrogatepass"))
+            return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
         return score
 
@@ -118,12 +111,13 @@ def fit(texts: dict[int, list[bytes]], counts: dict[int, int], settings: Setting
             return b"".join(samples)[-settings.dictionary_bytes :]
 
     model.good, model.bad = dictionary(seen[1]), dictionary(seen[0])
-    features = model.sizer()
-    x = np.array([features(t) for q in (1, 0) for t in rest[q]])
+    difference = model.measure()
+    x = np.array([difference(t) for q in (1, 0) for t in rest[q]])
     y = np.array([float(q) for q in (1, 0) for _ in rest[q]])
     weight = np.array([counts[q] / len(rest[q]) for q in (1, 0) for _ in rest[q]])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = logistic((x - model.mean) / model.scale, y, weight / weight.mean(), settings.penalty)
+    mean, scale = x.mean(), x.std() + 1e-9
+    base, slope = logistic(((x - mean) / scale)[:, None], y, weight / weight.mean(), settings.penalty)
+    model.curve = float(base - slope * mean / scale), float(slope / scale)
     return model
 
 
@@ -136,17 +130,18 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    most = 2 * (settings.dictionary_docs + settings.calibration_docs)
+    per = settings.dictionary_docs + settings.calibration_docs
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, settings.max_chars))
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
-    picked = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(*order).limit(most).collect()]
-    quality = {r["doc_id"]: r["quality"] for r in picked}
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in quality], "__id bigint"))  # at most 4 * (600 + 900) ids
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, settings.max_chars)).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    picked = {r["doc_id"]: r["quality"] for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(*order).limit(per).collect()}
     own: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in texts.orderBy(*order, F.xxhash64("text")).limit(2 * most).collect():
-        own[quality[r["doc_id"]]].append(r["text"].encode("utf-8", "surrogatepass"))
-    per = settings.dictionary_docs + settings.calibration_docs
-    return fit({q: own[q][:per] for q in own}, counts, settings)
+    if picked:
+        ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id bigint"))  # at most 2 * (600 + 900) ids
+        found = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        for r in found.orderBy(*order).collect():
+            own[picked[r["doc_id"]]].append(r["text"].encode("utf-8", "surrogatepass"))
+    return fit(own, counts, settings)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -168,13 +163,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``; same columns."""
 
+    at = column_index(docs.columns, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = model.scorer()
         for piece in in_slices(batches):
-            texts = piece.column(column_index(piece.schema.names, text_col)).to_pylist()
-            yield piece.filter(pa.array([f(t) >= threshold for t in texts], pa.bool_()))
+            yield piece.filter(pa.array([f(t) >= threshold for t in piece.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
