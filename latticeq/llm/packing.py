@@ -7,7 +7,8 @@ the open sequence that makes the sum of the squared counts of open sequences per
 sequence is opened only if no open one has room. A group's few open sequences are the only loss.
 
 Defined cases: a null or empty text is one piece holding only the end token; equal lengths are placed in the order
-of id and piece; repeated rows are packed as often as they come; an empty table gives an empty table.
+of id and piece; repeated rows and null ids are packed as often as they come, and dealt to groups like all others;
+columns with the new names give way; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, free_name, in_slices
+from .common import column_index, cut, free_names, in_slices, numbered
 
 CAPACITY = 2048
 END_ID = 0
@@ -148,20 +149,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_
     Columns that have these names already stay, the new ones then get an underscore before theirs.
     A group's rows are held by one task: at most about ``group_pieces`` of them, so carry no long columns.
     """
+    pieces = cut(pieces)  # rows are dealt by their place in it
     n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-tokens // group_tokens), -(-n // group_pieces))
-    names = [f.name for f in pieces.schema.fields]
-    sequence, offset = free_name(names, "sequence_id"), free_name(names, "offset")
-    schema = StructType([*pieces.schema.fields, StructField(sequence, LongType()), StructField(offset, LongType())])
+    names = pieces.columns
+    length, doc_id, piece = (f"c{column_index(names, c)}" for c in ("length", "doc_id", "piece"))
+    plain = numbered(pieces)
+    schema = StructType([*plain.schema.fields, StructField("sequence", LongType()), StructField("offset", LongType())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = table.append_column("__row", pa.array(np.arange(table.num_rows))).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins, offsets = sum_of_squares(order.column("length").to_numpy(), capacity)
-        group = key[0].as_py()
-        return order.select(names).append_column(sequence, pa.array((np.int64(group) << 40) + bins)).append_column(offset, pa.array(offsets))
+        table = table.drop_columns(["group"]).append_column("row", pa.array(np.arange(table.num_rows)))
+        order = table.sort_by([(length, "descending"), (doc_id, "ascending"), (piece, "ascending"), ("row", "ascending")]).drop_columns(["row"])
+        bins, offsets = sum_of_squares(order.column(length).to_numpy(), capacity)
+        return order.append_column("sequence", pa.array((np.int64(key[0].as_py()) << 40) + bins)).append_column("offset", pa.array(offsets))
 
-    group = F.pmod(F.xxhash64(F.lit(7), "doc_id", "piece"), F.lit(groups))
-    return pieces.groupBy(group.alias("__group")).applyInArrow(run, schema)
+    group = F.pmod(F.xxhash64(F.lit(7), F.monotonically_increasing_id()), F.lit(groups))
+    packed = plain.withColumn("group", group).groupBy("group").applyInArrow(run, schema)
+    return packed.toDF(*names, *free_names(names, "sequence_id", "offset"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +175,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     """Pieces, their place and the CRC-32 of their ids."""
-    pieces = cut(tokenize_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return pack(pieces)
+    return pack(tokenize_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))

@@ -7,10 +7,11 @@ permutes its rows and deals them out by its row of the matrix, and each shard pe
 shards' sizes are set beforehand and differ by at most one.
 
 DataFrame functions only; the driver handles the matrix, of at most ``MOST_BLOCKS`` times the number of shards.
-A shard's permutation is a sort by a random key, done in ``PARTS`` ranges of the key so that no task holds a shard.
+A permutation is the order of random keys. It is made in ranges of the key, each of about ``BLOCK_ROWS`` rows, whose
+starts are added: their number follows the rows, so no task's share does, in blocks and in shards alike.
 
 Defined cases: null texts have no bytes; repeated rows are dealt like any others; keys are hashes of the seed and
-the row, so a rerun of a lost task deals its rows alike; an empty table gives an empty table.
+the row, so a rerun of a lost task deals its rows alike; columns of any name pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_names
 
 MOST_BLOCKS = 4096
 BLOCK_ROWS = 4096
-PARTS = 64
 
 
 def hypergeometric(colors: list[int], draws: int, rng: np.random.Generator) -> list[int]:
@@ -66,32 +66,42 @@ def _key(seed: int, salt: int, cols: list[Column]) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(salt), *cols)
 
 
+def _bits(rows: int) -> int:
+    """Of a key's leading bits so many that a range of them holds about ``BLOCK_ROWS`` of the rows."""
+    return max(0, (rows // BLOCK_ROWS).bit_length())
+
+
+def _ranked(rows: DataFrame, group: str, key: str, bits: int, ties: list[Column], rank: str) -> DataFrame:
+    """``rows`` plus ``rank``, their place (from 1) in their group by the key, counted range by range."""
+    part, start, n = free_names(rows.columns, "key_range", "range_start", "range_rows")
+    spread = rows.withColumn(part, F.shiftrightunsigned(F.col(key), 64 - bits) if bits else F.lit(0).cast("bigint"))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy(group, part).agg(F.count("*").alias(n)).select(group, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = F.row_number().over(Window.partitionBy(group, part).orderBy(key, *ties))
+    return spread.withColumn(rank, inside).join(starts, [group, part]).withColumn(rank, F.col(rank) + F.col(start)).drop(part, start)
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int = 24, seed: int = 42, identity: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """``rows`` plus ``shard`` and ``slot`` (gapless from 0 in each shard). ``identity``: the columns that tell rows apart.
 
     If ``rows`` has columns of these names already, the new ones get an underscore before theirs.
     """
     spark = rows.sparkSession
-    shard, slot = (free_name(rows.columns, c) for c in ("shard", "slot"))
+    shard, slot, block, key, rank, own, bounds = free_names(rows.columns, "shard", "slot", "block", "shuffle_key", "shuffle_rank", "own_block", "bounds")
+    given = [F.col(f"`{c}`") for c in rows.columns]
     cols = [F.col(f"`{c}`") for c in identity or rows.columns]
     rows = cut(rows)
     n = rows.count()
     blocks = blocks or max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
-    block = F.pmod(_key(seed, 1, cols), F.lit(blocks)).cast("int")
-    placed = rows.withColumn("__block", block).withColumn("__k", _key(seed, 2, cols))
-    counts = {r["__block"]: r["n"] for r in placed.groupBy("__block").agg(F.count("*").alias("n")).collect()}
+    placed = rows.withColumn(block, F.pmod(_key(seed, 1, cols), F.lit(blocks)).cast("int")).withColumn(key, _key(seed, 2, cols))
+    counts = {r[0]: r[1] for r in placed.groupBy(block).agg(F.count("*")).collect()}
     sizes = [n // shards + (s < n % shards) for s in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
-    bounds = [(b, np.cumsum(r).tolist()) for b, r in enumerate(matrix)]
-    table = spark.createDataFrame(bounds, "__b int, __bounds array<bigint>")
-    local = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__block").orderBy("__k", *cols)))
-    dealt = local.join(F.broadcast(table), F.col("__block") == F.col("__b")).withColumn(shard, F.size(F.filter("__bounds", lambda x: x < F.col("__r"))))
-    last = _key(seed, 3, cols)
-    dealt = cut(dealt.select(*rows.columns, shard, last.alias("__k"), F.shiftrightunsigned(last, 58).cast("int").alias("__part")))
-    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(shard, "__part").agg(F.count("*").alias("n")).select(shard, "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(shard, "__part").orderBy("__k", *cols))
-    return dealt.withColumn("__i", inside).join(F.broadcast(starts), [shard, "__part"]).select(*rows.columns, shard, (F.col("__start") + F.col("__i") - 1).alias(slot))
+    table = spark.createDataFrame([(b, np.cumsum(r).tolist()) for b, r in enumerate(matrix)], f"{own} int, {bounds} array<bigint>")
+    local = _ranked(placed, block, key, _bits(max(counts.values(), default=0)), cols, rank)
+    dealt = local.join(F.broadcast(table), F.col(block) == F.col(own)).withColumn(shard, F.size(F.filter(bounds, lambda x: x < F.col(rank))))
+    dealt = cut(dealt.select(*given, shard, _key(seed, 3, cols).alias(key)))
+    return _ranked(dealt, shard, key, _bits(n // shards), cols, slot).select(*given, shard, (F.col(slot) - 1).alias(slot))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
