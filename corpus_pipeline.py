@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each over all that its predecessor kept, written as Parquet and read again."""
+"""The corpus pipeline: five stages, each over all that its predecessor kept, written as Parquet and read again.
+
+Defined cases, in every stage but the last the same columns come out that went in: a null, empty or word-less text
+fails the quality rules; a document without an id passes them like any other, is no near-duplicate of another, keeps
+its personal data replaced and is packed; rows that repeat an id and a text are near-duplicates, of which one stays,
+rows that repeat an id with different texts are different documents; very long texts are worked on whole; columns of
+other names pass through; an empty table gives an empty result, and without labels no document is rejected by the
+classifier.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from latticeq.llm import packing, pii, quality_model, quality_rules, simhash
-from latticeq.llm.common import shared_path
+from latticeq.llm.common import remove, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,7 +26,10 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold go; the model is fitted on the labelled documents as they came."""
+    """Documents that score below the threshold go.
+
+    The model is fitted on the labelled documents as they came, since the rules before it have removed bad ones.
+    """
     model = quality_model.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.keep_good(docs, model)
 
@@ -51,13 +62,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is a table in the shared folder before the next one reads it.
+
+    A table goes when the next one is written. The last stage reads its input while it is made (its pieces are cut
+    in the checkpoint folder), so the table before it goes as well.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return made
-        path = shared_path(spark, f"stage-{k}-{name}")
-        made.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        made, path = stage(spark, docs, sf_dir), None
+        if k < len(STAGES) - 1:
+            path = shared_path(spark, f"stage-{k}-{name}")
+            made.write.parquet(path)
+            docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
+    return made

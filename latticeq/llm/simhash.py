@@ -252,8 +252,12 @@ def shingle_sets(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
     return docs.select("node", "text").mapInArrow(arrow_rows(lambda: work, schema), "node bigint, grams binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b`` of ``pairs`` whose shingle sets have at least that Jaccard similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b`` of ``pairs`` whose shingle sets have at least that Jaccard similarity.
+
+    ``texts`` has ``doc_id, tid, text``, and ``own`` a ``doc_id`` and ``tid`` for each node. Whole texts are read
+    again for the nodes of pairs, which are few; no other sets are made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_slices(batches):
@@ -267,9 +271,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
             kept = piece.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(shingle_sets(texts.join(own.join(nodes, "node", "left_semi"), ["doc_id", "tid"]).select("node", "text")))
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct())
+    release(pairs.sparkSession)
+    return found
 
 
 def _with_parts(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -339,23 +347,20 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
     common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     made = made.where("bucket IS NULL")
     shared = cut(shared_postings(prefixes(docs, common, text_col, similarity=similarity), similarity))
-    first = cut(_by_fingerprint(made, list_most))
-    nodes = shared.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    own = made.groupBy(F.col("copy").alias("node")).agg(F.min(F.struct("doc_id", "tid")).alias("own")).join(nodes, "node", "left_semi").select("node", "own.*")
-    texts = _read(docs, "doc_id", text_col).join(own, ["doc_id", "tid"]).select("node", "text")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(shingle_sets(texts).repartition(spread, "node").dropDuplicates(["node"]))
+    first = _by_fingerprint(made, list_most)
+    texts = _read(docs, "doc_id", text_col)
+    own = cut(made.groupBy(F.col("copy").alias("node")).agg(F.min(F.struct("doc_id", "tid")).alias("own")).select("node", "own.*"))
     release(docs.sparkSession)
-    rows, found, turn = cut(shared.withColumn("part", F.col("node"))), None, 0
+    rows, found, turn = shared.withColumn("part", F.col("node")), None, 0
     while True:
         met = _to_leaders(rows, turn, similarity)
         met = cut(met if turn else met.unionByName(first).distinct())
-        near = cut(verified(met, sets, similarity))
+        near = verified(met, texts, own, similarity)
         found, tested, linked, turn = near if found is None else found.unionByName(near), met.count(), near.count(), turn + 1
         rows = _with_parts(rows.drop("part"), found)
         release(docs.sparkSession)
         if linked * FEW_LINKS <= tested:
-            return found.unionByName(verified(cut(_across(rows, similarity)), sets, similarity))
+            return found.unionByName(verified(cut(_across(rows, similarity)), texts, own, similarity))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, list_most: int) -> tuple[DataFrame, DataFrame]:

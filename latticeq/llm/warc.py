@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, shared_path
+from .common import cut, in_slices, remove, shared_path
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -310,8 +310,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     found = resolve(read_archives(spark, path))  # what it keeps is in the checkpoint folder by now
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
     return found
 
 

@@ -22,7 +22,8 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
     raw = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     kept = [{r.doc_id: r.text for r in s.collect()} for s in seen[:4]]
-    judged = {i: quality_rules.judge(t) for i, t in raw.items()}
+    common = quality_rules.common_lines(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    judged = {i: quality_rules.judge(t, common=common) for i, t in raw.items()}
     assert kept[0] == {i: j["cleaned"] for i, j in judged.items() if j["kept"]}
     assert set(kept[1]) <= set(kept[0]) and set(kept[2]) <= set(kept[1]) and set(kept[3]) == set(kept[2])
 

@@ -356,6 +356,30 @@ def test_shards(spark, odd):
     assert clash.columns == ["doc_id", "shard", "slot", "_shard", "_slot"] and clash.count() == len(EDGE)
 
 
+def test_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 16)
+    df = spark.range(700).selectExpr("id", "id AS block", "1 AS shuffle_key", "2 AS `a.b`", "3 AS __block", "4 AS bounds")
+    got = sharding.shuffle_into_shards(df, 5, seed=9)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    keys = {r.id: r for r in df.select("id", *(F.xxhash64(F.lit(9), F.lit(k), *(F.col(f"`{c}`") for c in df.columns)).alias(f"k{k}") for k in (1, 2, 3))).collect()}
+    blocks = -(-700 // 16)
+
+    def order(ids, k):
+        return sorted(ids, key=lambda i: (keys[i][k] & (2**64 - 1)))
+
+    held = [[i for i in range(700) if keys[i].k1 % blocks == b] for b in range(blocks)]
+    matrix = sharding.communication_matrix([len(h) for h in held], [140] * 5, 9)
+    shards = [[] for _ in range(5)]
+    for own, row in zip(held, matrix):
+        at = 0
+        ordered = order(own, "k2") if sharding._bits(max(map(len, held))) else sorted(own, key=lambda i: keys[i].k2)
+        for s, n in enumerate(row):
+            shards[s] += ordered[at : at + n]
+            at += n
+    want = {i: (s, k) for s, own in enumerate(shards) for k, i in enumerate(order(own, "k3"))}
+    assert {r.id: (r.shard, r.slot) for r in got.collect()} == want
+
+
 # ---- archives
 
 

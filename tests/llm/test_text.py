@@ -46,7 +46,7 @@ def test_repeat_words(words):
 
 def test_line_rules_and_verdict():
     noisy = "\n".join([PROSE, "home | about | help | terms", "buy### now*** here$$$", "ALL THIS IS LOUD TEXT", "All rights reserved.", PROSE])
-    found = quality_rules.judge(noisy)
+    found = quality_rules.judge(noisy, common=frozenset([quality_rules.line_hash("All rights reserved.")]))
     assert found["cleaned"] == PROSE and found["n_dup_lines"] == 1 and found["n_symbols"] == 3 + 9
     assert found["base_failed"] and not found["kept"]  # half of it is repeated
     assert quality_rules.judge(PROSE)["kept"]
@@ -55,10 +55,32 @@ def test_line_rules_and_verdict():
         assert quality_rules.judge(nothing)["base_failed"] and quality_rules.judge(nothing)["n_words"] == 0
 
 
+def brute_common(texts, least):
+    between = {}
+    for text in texts:
+        lines = (text or "").split("\n")
+        for k, line in enumerate(lines):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                between.setdefault(line, set()).add((lines[k - 1] if k else None, lines[k + 1] if k + 1 < len(lines) else None))
+    return {line for line, around in between.items() if len(around) >= least}
+
+
+def test_common_lines(spark):
+    texts = [f"head {k % 9}\nAll rights reserved.\n{PROSE} {k}\n \n- more\nand so on..." for k in range(14)] + ["same\ncopy\nline"] * 40 + [None, "", "All rights reserved."]
+    found = quality_rules.common_lines(frame(spark, texts))
+    want = brute_common(texts, 10)
+    assert "All rights reserved." in want and "copy" not in want and found == {quality_rules.line_hash(x) for x in want}
+    assert quality_rules.common_lines(frame(spark, texts).where("false")) == frozenset()
+    rows = quality_rules.assess(frame(spark, texts)).orderBy("doc_id").collect()
+    assert all(r.cleaned == f"head {k % 9}\n{PROSE} {k}\n " and r.kept for k, r in enumerate(rows[:14]))
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert quality_rules.common_lines(some) == {quality_rules.line_hash(x) for x in brute_common([r.text for r in some.collect()], 10)}
+
+
 def test_assess_and_keep(spark, odd):
     rows = quality_rules.assess(odd).collect()
     assert len(rows) == len(EDGE)
-    extra = odd.selectExpr("*", "doc_id AS kept", "text AS cleaned")
+    extra = odd.selectExpr("*", "doc_id AS kept", "text AS cleaned", "1 AS `a.b`", "2 AS c1")
     kept = quality_rules.keep_clean(extra)
     assert kept.columns == extra.columns
     assert [(r.text, r.n_chars) for r in kept.collect()] == [(PROSE, len(PROSE))] * 2
@@ -86,6 +108,31 @@ def test_classifier_held_out(spark):
     assert ((scored.score - scored.quality) ** 2).mean() < 0.03  # calibrated
 
 
+def test_score_equals_brute_force(spark):
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.train(docs, labels)
+    rows = {r.doc_id: r for r in quality_model.score(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert model.curve is not None and set(rows) == set(texts)
+
+    def size(data, dictionary):
+        made = zstandard.ZstdCompressor(level=model.level, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        return len(made.compress(data))
+
+    for i, text in texts.items():
+        raw = text.encode()
+        z = model.curve[0] + model.curve[1] * (size(raw, model.bad) - size(raw, model.good)) / (len(raw) + 1)
+        want = 1 / (1 + math.exp(-max(-30, min(30, z)))) if raw else model.prior
+        assert abs(rows[i].score - want) < 1e-12 and rows[i].predicted == (want >= 0.3)
+    # the curve is that of least weighted log loss with a small penalty on its slope
+    quality = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert model.prior == sum(quality.values()) / len(quality) and model.curve[1] > 0
+
+
 def test_classifier_defined_cases(spark, odd):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality_model.train(odd, empty)
@@ -98,6 +145,8 @@ def test_classifier_defined_cases(spark, odd):
     assert f(PROSE) > 0.7 > 0.3 > f("q### r*** s$$$ " * 12) and f("") == f(None) == 0.5
     assert all(0 <= r.score <= 1 for r in quality_model.score(odd, fitted).collect())
     assert quality_model.keep_good(odd.where("false"), fitted).count() == 0 and quality_model.keep_good(odd, fitted).columns == odd.columns
+    named = odd.selectExpr("*", "1 AS `a.b`", "2 AS score")
+    assert quality_model.keep_good(named, fitted).columns == named.columns and quality_model.keep_good(named, fitted).count() == quality_model.keep_good(odd, fitted).count()
 
 
 # ---- byte-level BPE
@@ -202,6 +251,13 @@ def test_packing_table(spark, odd):
     assert clash.columns[-2:] == ["sequence_id", "_offset"] and clash.count() == 2
 
 
+def test_repeated_and_null_ids_are_dealt_to_all_groups(spark):
+    rows = spark.range(5000).selectExpr("cast(null AS bigint) AS doc_id", "0 AS piece", "id % 90 + 10 AS length", "1 AS packed_row", "2 AS `x.y`")
+    got = packing.pack(rows, capacity=100, group_pieces=100).toPandas()
+    assert (got.sequence_id // 2**40).nunique() == 50 and len(got) == 5000 and list(got.columns[:5]) == rows.columns
+    assert got.groupby("sequence_id").length.sum().max() <= 100
+
+
 def test_packing_is_near_the_bound(spark):
     from ..helpers import SMALL
 
