@@ -79,25 +79,37 @@ def band_keys(h: Column, most: int, spare: int = 1) -> Column:
     return F.array(*parts)
 
 
-def near_pairs(rows: DataFrame, most: int, pos: str = "pos", hash_array: str = "hash", spare: int = 1) -> DataFrame:
+def spare_for(rows: int, most: int) -> int:
+    """Spare bands that make keys long enough for so many rows, so that a list holds a few unrelated ones at most."""
+    need = max(1, rows * ORIENTATIONS).bit_length()
+    return next((k for k in range(1, 5) if 64 * k // (most + k) >= need), 4)
+
+
+def _met(earlier: DataFrame, later: DataFrame, most: int, spare: int) -> DataFrame:
+    """``a, b, distance``: rows of ``earlier`` (``a, ha``) and ``later`` (``b, hb``) that are near, by shared bands."""
+    left = earlier.select("a", "ha", F.explode(band_keys(F.col("ha"), most, spare)).alias("k")).select("a", "ha", "k.*")
+    right = later.select("b", "hb", F.explode(band_keys(F.col("hb"), most, spare)).alias("k")).select("b", "hb", "k.*")
+    near = left.join(right, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
+    return near.groupBy("a", "b").agg(F.min(hamming(F.col("ha"), F.col("hb"))).alias("distance"))
+
+
+def near_pairs(rows: DataFrame, most: int, pos: str = "pos", hash_array: str = "hash", spare: int | None = None) -> DataFrame:
     """``a, b`` (a < b) where the later row's own hash is within ``most`` bits of an orientation of the earlier one.
 
     The rule is not symmetric: only the earlier row is turned. Rows meet on bands, which loses no pair; rows with
-    one and the same hash array meet once, through their first row, and are linked to it.
+    one and the same hash array meet once, through their first row, and are linked to it. Keys grow with the rows.
     """
     keyed = rows.select(F.col(pos).alias("pos"), F.col(hash_array).alias("h"))
     first = keyed.groupBy("h").agg(F.min("pos").alias("first"))
     same = keyed.join(first, "h").where("first < pos").select(F.col("first").alias("a"), F.col("pos").alias("b"))
     lone = first.select(F.col("first").alias("pos"), "h")
-    earlier = lone.select(F.col("pos").alias("a"), F.explode(F.array_distinct("h")).alias("ha")).select("a", "ha", F.explode(band_keys(F.col("ha"), most, spare)).alias("k")).select("a", "ha", "k.*")
-    later = lone.select(F.col("pos").alias("b"), F.col("h")[0].alias("hb")).select("b", "hb", F.explode(band_keys(F.col("hb"), most, spare)).alias("k")).select("b", "hb", "k.*")
-    close = earlier.join(later, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most)).select("a", "b").distinct()
-    return close.unionByName(same)
+    spare = spare or spare_for(lone.count(), most)
+    close = _met(lone.select(F.col("pos").alias("a"), F.explode(F.array_distinct("h")).alias("ha")), lone.select(F.col("pos").alias("b"), F.col("h")[0].alias("hb")), most, spare)
+    return close.select("a", "b").unionByName(same)
 
 
-def near_pairs_full(rows: DataFrame, most: int, pos: str = "pos", hash_array: str = "hash", spare: int = 1) -> DataFrame:
-    """All pairs by the same rule, copies included, each pair as often as it is: the plain band join."""
+def near_pairs_full(rows: DataFrame, most: int, pos: str = "pos", hash_array: str = "hash", spare: int | None = None) -> DataFrame:
+    """``a, b, distance``: all pairs by the same rule, copies included."""
     keyed = rows.select(F.col(pos).alias("pos"), F.col(hash_array).alias("h"))
-    earlier = keyed.select(F.col("pos").alias("a"), F.explode(F.array_distinct("h")).alias("ha")).select("a", "ha", F.explode(band_keys(F.col("ha"), most, spare)).alias("k")).select("a", "ha", "k.*")
-    later = keyed.select(F.col("pos").alias("b"), F.col("h")[0].alias("hb")).select("b", "hb", F.explode(band_keys(F.col("hb"), most, spare)).alias("k")).select("b", "hb", "k.*")
-    return earlier.join(later, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most)).groupBy("a", "b").agg(F.min(hamming(F.col("ha"), F.col("hb"))).alias("distance"))
+    spare = spare or spare_for(keyed.count(), most)
+    return _met(keyed.select(F.col("pos").alias("a"), F.explode(F.array_distinct("h")).alias("ha")), keyed.select(F.col("pos").alias("b"), F.col("h")[0].alias("hb")), most, spare)

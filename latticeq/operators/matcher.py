@@ -22,6 +22,16 @@ DEFAULT_TAU = 0.5
 BATCH = 64
 
 
+def embedded(embedder: Embedder, shown: list[np.ndarray], views: bool) -> np.ndarray:
+    """Normalised vectors of a batch; ``views`` merges each image's with its mirror's."""
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    out = unit(np.array(embedder(shown), float))
+    return unit(out + unit(np.array(embedder([x[:, ::-1] for x in shown]), float))) if views else out
+
+
 class CatalogMatcher:
     """Identification and verification with one embedder; ``views`` merges each image with its mirror."""
 
@@ -36,18 +46,12 @@ class CatalogMatcher:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), BATCH):
-                    rows = batch.iloc[at : at + BATCH].to_dict("records")
+                    rows = files.plain(batch.iloc[at : at + BATCH]).to_dict("records")
                     broken = [r["path"] for r in rows if r["height"] <= 0]
                     if broken:
                         raise ValueError(f"cannot decode {broken[0]}")
                     shown = [images.center_crop(files.pixels(r), size) for r in rows]
-                    out = np.array(embedder(shown), float)
-                    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-                    if views:
-                        other = np.array(embedder([x[:, ::-1] for x in shown]), float)
-                        out = out + other / np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
-                        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-                    yield pd.DataFrame({"path": [r["path"] for r in rows], "embedding": out.tolist()})
+                    yield pd.DataFrame({"path": [r["path"] for r in rows], "embedding": embedded(embedder, shown, views).tolist()})
 
         return files.decode(self.spark, *roots).mapInPandas(run, "path string, embedding array<float>")
 

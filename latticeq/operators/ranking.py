@@ -1,7 +1,7 @@
 """Retrieval over embedding vectors: scores, top-k, per-label maximum and identification metrics.
 
-The side that is small enough is broadcast (both sizes are checked, the gallery's first); if neither is, the gallery
-is dealt into blocks that meet every query once. Exact either way.
+The side that is small enough is broadcast (both sides' bytes are checked, the gallery's first); if neither is, both
+are dealt into blocks that meet pairwise, each pair of blocks in a task's share of its own. Exact either way.
 """
 
 from __future__ import annotations
@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 
 KS = (1, 5, 10)
-BROADCAST_ROWS = 20_000
-BLOCK_ROWS = 20_000
+#: What a broadcast side may hold, and about how much a block, by 8 bytes an entry and ``ROW_BYTES`` a row.
+BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+ROW_BYTES = 64
+
+
+def side_bytes(rows: DataFrame, vec: str) -> int:
+    """Size of one side of a search, from its rows and longest vector."""
+    n, longest = rows.agg(F.count("*"), F.max(F.size(vec))).first()
+    return n * (8 * max(longest or 0, 0) + ROW_BYTES)
 
 
 def scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
@@ -22,16 +30,48 @@ def scores(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     ``queries`` has ``q, q_label, q_vec`` (and more, which is carried), ``gallery`` has ``g, g_label, g_vec``.
     """
     carried = [c for c in queries.columns if c != "q_vec"]
-    if gallery.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    wide, narrow = side_bytes(gallery, "g_vec"), None
+    if wide <= BROADCAST_BYTES:
         met = queries.crossJoin(F.broadcast(gallery))
-    elif queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    elif (narrow := side_bytes(queries, "q_vec")) <= BROADCAST_BYTES:
         met = gallery.crossJoin(F.broadcast(queries))
     else:
-        blocks = -(-gallery.count() // BLOCK_ROWS)
-        met = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(gallery.withColumn("__b", F.pmod(F.xxhash64("g"), F.lit(blocks)).cast("int")), "__b")
+        qs, gs = -(-narrow // BLOCK_BYTES), -(-wide // BLOCK_BYTES)
+
+        def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+            return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        met = dealt(queries, "q", "__qb", qs, "__gb", gs).join(dealt(gallery, "g", "__gb", gs, "__qb", qs), ["__qb", "__gb"])
     return met.select(*carried, "g", "g_label", dot("q_vec", "g_vec").alias("s"))
 
 
+def ranked(queries: DataFrame, gallery: DataFrame, by: tuple[str, ...] = ("q", "q_label"), apart: bool = False) -> DataFrame:
+    """The rows of :func:`per_query`; ``apart``: a row is no result for itself.
+
+    A gallery of a checked size is sent out as one sorted list, so each query is ranked in its own row and nothing is
+    exchanged; a larger one goes through :func:`scores` and a window.
+    """
+    if side_bytes(gallery, "g_vec") > BROADCAST_BYTES:
+        met = scores(queries, gallery)
+        return per_query(met.where("q <> g") if apart else met, by)
+    rows = gallery.agg(F.sort_array(F.collect_list(F.struct("g", "g_label", "g_vec"))).alias("__rows"))
+    met = queries.crossJoin(F.broadcast(rows))  # one row
+    others = F.filter("__rows", lambda x: x["g"] != F.col("q")) if apart else F.col("__rows")
+    order = F.array_sort(F.transform(others, lambda x: F.struct((-dot(F.col("q_vec"), x["g_vec"])).alias("s"), x["g"].alias("g"), x["g_label"].alias("g_label"))))
+    met = met.select(*by, F.col("q_label").alias("__label"), order.alias("__order"))
+    hits = F.filter(F.transform("__order", lambda x, i: F.when(x["g_label"] == F.col("__label"), i + 1)), lambda i: i.isNotNull())
+    met = met.withColumn("__hits", hits)
+    precision = F.aggregate(F.transform("__hits", lambda r, i: (i + 1) / r), F.lit(0.0), lambda s, x: s + x)
+    return met.select(
+        *by,
+        F.get("__hits", F.lit(0)).alias("first_hit"),
+        (precision / F.greatest(F.size("__hits"), F.lit(1))).alias("ap"),
+        F.size("__hits").cast("bigint").alias("n_hits"),
+        F.get("__order", F.lit(0))["g_label"].alias("top_label"),
+        F.size("__order").cast("bigint").alias("n_gallery"),
+    )
+
+
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("q",)) -> DataFrame:
     """The ``k`` best gallery rows of a query with their rank; ties go to the earlier gallery row."""
     order = Window.partitionBy(*by).orderBy(F.col("s").desc(), F.col("g"))

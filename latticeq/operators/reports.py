@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def latency(call: Callable[[], object], n: int = 50, warm: int = 10) -> float:
     return (time.perf_counter() - began) / n * 1000
 
 
+def efficiency(embedder: Callable, size: int = 224, n: int = 50, warm: int = 10) -> dict[str, float | str]:
+    """Latency of an embedder for one picture and throughput for 64, size of its vectors."""
+    shown = list(np.random.default_rng(0).integers(0, 256, (64, size, size, 3), dtype=np.uint8))
+    dim = len(embedder(shown[:1])[0])
+    batch = latency(lambda: embedder(shown), max(1, n * 2 // 5), 1)
+    return {"input": f"{size}x{size}", "embedding_dim": dim, "embedding_bytes_fp16": 2 * dim, "latency_ms_bs1": latency(lambda: embedder(shown[:1]), n, warm), "throughput_img_s_bs64": 64_000 / max(batch, 1e-9)}
+
+
+def samples(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows for a report, drawn by a digest of seed and key: the same in any partitioning."""
+    draw = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    return rows.orderBy(draw, key).limit(n)
+
+
 def parameter_bytes(n_parameters: int, dim: int, n_items: int, width: int = 2) -> dict[str, float]:
     """Size of an index of so many vectors, and of the model's parameters in 32 bits."""
     return {"params_m": n_parameters / 1e6, "embedding_bytes": dim * width, "gallery_gb": n_items * dim * width / 1e9, "params_mb": n_parameters * 4 / 1e6}

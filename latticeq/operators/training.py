@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import images
 from ..functions.vectors import dot
+from .ingest import with_position
 
 TEMPERATURE = 0.07
 #: Random palettes of different epochs have different seeds up to this bank size.
@@ -42,6 +43,17 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     return rows.where(at < n).withColumn("batch_id", F.floor(at / size).cast("bigint")).withColumn("slot", (at % size).cast("bigint"))
 
 
+def shuffled_batches(rows: DataFrame, key: str, size: int, epoch: int) -> DataFrame:
+    """``rows`` in an epoch's own order (a digest of epoch and key), then as :func:`batches`."""
+    drawn = rows.withColumn("__draw", F.md5(F.concat(F.lit(f"{epoch}-"), F.col(key).cast("string"))))
+    return batches(with_position(drawn, "__draw", key).drop("__draw"), "pos", size).drop("pos")
+
+
+def epoch_losses(steps: DataFrame) -> DataFrame:
+    """``epoch, loss, n_steps``: the mean of each epoch's step losses."""
+    return steps.groupBy("epoch").agg(F.avg("loss").alias("loss"), F.count("*").alias("n_steps"))
+
+
 def views(rows: DataFrame, n: int) -> DataFrame:
     """``n`` rows for each row, numbered by ``view``; labels repeat with them."""
     return rows.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

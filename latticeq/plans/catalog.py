@@ -14,7 +14,8 @@ from ..sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-NEAR_BITS = 16
+NEAR_BITS = 6
+FURTHER = 1_000_000
 
 
 def query(sql: str | None = None):
@@ -119,9 +120,12 @@ def _orientation_sql() -> str:
     return " UNION ALL ".join(out)
 
 
+#: Every third vector has a further photo: mirrored, in steps of 0.05, under an id of its own.
+PHOTOS_SQL = f"""e AS (SELECT vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  UNION ALL SELECT vec_id + {FURTHER}, list_transform(range(1, 65), lambda i: CASE WHEN i % 2 = 0 THEN -1e0 ELSE 1e0 END * (floor(embedding[i]::DOUBLE * 20e0 + 0.5e0) / 20e0)) FROM embeddings WHERE vec_id % 3 = 0)"""
 #: Hashes as two halves, since a signed integer cannot be shifted into its top bit there.
 HASH_SQL = f"""
-WITH RECURSIVE e AS (SELECT vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+WITH RECURSIVE {PHOTOS_SQL},
 t AS ({_orientation_sql()}),
 b AS (SELECT pos, o, c, list_sort(c[2:64])[32] AS m FROM t),
 h AS (SELECT pos, o,
@@ -133,7 +137,10 @@ d AS (SELECT a.pos AS a, b.pos AS b, min(bit_count(xor(a.hi, b.hi)) + bit_count(
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), hashing.hashes("embedding").alias("hash"))
+    first = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("v"))
+    steps = F.transform("v", lambda x, i: F.when(i % 2 == 1, -1.0).otherwise(1.0) * (F.floor(x * 20.0 + 0.5).cast("double") / 20.0))
+    photos = first.unionByName(first.where("pos % 3 = 0").select((F.col("pos") + FURTHER).alias("pos"), steps.alias("v")))
+    return photos.select("pos", hashing.hashes("v").alias("hash"))
 
 
 @query(HASH_SQL + " SELECT pos, o, hi, lo FROM h")
@@ -219,14 +226,15 @@ def source_split_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("split", split).groupBy("source").pivot("split", ["train", "val", "test"]).count().fillna(0)
 
 
-@query("SELECT '/data/' || doc_id AS path, source, doc_id::BIGINT AS \"group\", CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT '/data/' || doc_id AS path, source, doc_id::BIGINT AS \"group\", CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM documents")
 def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 10
     path = F.concat(F.lit("/data/"), F.col("doc_id").cast("string"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), path.alias("path"), "source", path.alias("orig"), F.col("doc_id").alias("group"), F.when(k == 0, "test").when(k == 1, "val").otherwise("train").alias("split"))
     to = f"{checkpoint_root(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
     files.write_manifest(rows, to)
-    return files.read_manifest(spark, to, "test")
+    sides = [files.read_manifest(spark, to, name) for name in ("train", "val", "test")]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
 
 
 @query("""

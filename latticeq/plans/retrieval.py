@@ -1,17 +1,21 @@
 """Queries over vectors: identification, verification, ROC, roll-ups, loss, schedules, specifications.
 
-The query set and the gallery are stated: the first vector of each label is its gallery row, all others are queries
-(``identify_topk`` and ``cosine_matrix_topk`` take the first rows of labels as queries against all vectors).
+The query set and the gallery are stated: the first vector of each label is its gallery row, all others are queries.
+Searches of the whole table (``identify_topk``, ``cosine_matrix_topk``, ``mean_average_precision``) take as queries all
+vectors whose id is divisible by 50, against all vectors.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import checkpoint_root, cut
 from ..functions import vectors
-from ..operators import ingest, ranking, roc, specs, training
+from ..operators import benchmark, ingest, ranking, reports, roc, specs, training
+from ..sources import files
 from .catalog import rounded, table
 
 QUERIES: dict = {}
@@ -42,10 +46,10 @@ pq AS (SELECT q, q_label, min(rank) FILTER (g_label = q_label) AS first_hit,
   sum(CASE WHEN g_label = q_label THEN hits::DOUBLE / rank ELSE 0 END) / greatest(sum((g_label = q_label)::INT), 1) AS ap,
   arg_min(g_label, rank) AS top_label FROM hi GROUP BY 1, 2)
 """
-#: The other way about: many gallery rows a label, ten queries.
+#: The stated query set against every other vector.
 WIDE_SQL = f"""
 WITH v AS (SELECT vec_id::BIGINT AS id, label::BIGINT AS label, embedding AS vec, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings),
-sc AS (SELECT q.id AS q, q.label AS q_label, g.id AS g, g.label AS g_label, {dot_sql('q.vec', 'g.vec')} AS s FROM (SELECT * FROM v WHERE id = first) q JOIN v g ON g.id <> q.id)
+sc AS (SELECT q.id AS q, q.label AS q_label, g.id AS g, g.label AS g_label, {dot_sql('q.vec', 'g.vec')} AS s FROM (SELECT * FROM v WHERE id % 50 = 0) q JOIN v g ON g.id <> q.id)
 """
 
 
@@ -65,13 +69,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten queries against every vector; the queries are the small side here."""
+    """The stated queries against every other vector."""
     v = vecs(spark, sf_dir)
-    return ranking.scores(named(v.where("id = first"), "q"), named(v, "g")).where("q <> g")
+    return ranking.scores(named(v.where("id % 50 = 0"), "q"), named(v, "g")).where("q <> g")
 
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.per_query(scored(spark, sf_dir))
+    v = vecs(spark, sf_dir)
+    return ranking.ranked(named(v.where("id <> first"), "q"), named(v.where("id = first"), "g"))
 
 
 @query(WIDE_SQL + """
@@ -107,7 +112,8 @@ p AS (SELECT q, sum(CASE WHEN g_label = q_label THEN hits::DOUBLE / rank ELSE 0
 SELECT round(avg(ap), 6) + 0e0 AS map, count(*)::BIGINT AS n_queries FROM p
 """)
 def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ranking.identification(ranking.per_query(scored_wide(spark, sf_dir)))
+    v = vecs(spark, sf_dir)
+    m = ranking.identification(ranking.ranked(named(v.where("id % 50 = 0"), "q"), named(v, "g"), apart=True))
     return m.select(rounded(F.col("map")).alias("map"), "n_queries")
 
 
@@ -150,15 +156,28 @@ def p1_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("family", "family_class", *(rounded(F.col(c)).alias(c) for c in ("r1", "r5", "r10", "map")), "n_queries")
 
 
-@query(ROLLUP_SQL + """
-, a AS (SELECT family, avg((coalesce(first_hit, 999) <= 1)::INT) AS r1 FROM f GROUP BY 1), b AS (SELECT family, avg((coalesce(first_hit, 999) <= 3)::INT) AS r3 FROM f GROUP BY 1)
-SELECT family || CASE WHEN family IN ('curves', 'reinhard') THEN ' *' ELSE '' END AS family, round(r1, 6) + 0e0 AS zero_shot, round(r3, 6) + 0e0 AS ours FROM a JOIN b USING (family)
+def cut_sql(d: str) -> str:
+    """Ranking of the queries by the first ``d`` entries of their vectors, as another model's run."""
+    return f"""
+SELECT q, min(rank) FILTER (hit) AS first_hit FROM (
+  SELECT q, hit, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM (
+    SELECT q.id AS q, g.id AS g, q.label = g.label AS hit, list_reduce(list_transform(range(1, {d} + 1), lambda i: q.vec[i]::DOUBLE * g.vec[i]::DOUBLE), lambda x, y: x + y) AS s FROM que q CROSS JOIN gal g)) GROUP BY q"""
+
+
+def run_of(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
+    """Ranked queries of a model that sees the first ``d`` entries only."""
+    v = vecs(spark, sf_dir).withColumn("vec", F.slice("vec", 1, d))
+    return ranking.ranked(named(v.where("id <> first"), "q"), named(v.where("id = first"), "g"))
+
+
+@query(ROLES_SQL + f"""
+, a AS ({cut_sql('16')}), b AS ({cut_sql('64')}),
+x AS (SELECT {FAMILY_SQL} AS family, avg((coalesce(first_hit, 999) <= 1)::INT) AS r1 FROM a GROUP BY 1), y AS (SELECT {FAMILY_SQL} AS family, avg((coalesce(first_hit, 999) <= 1)::INT) AS r1 FROM b GROUP BY 1)
+SELECT family || CASE WHEN family IN ('curves', 'reinhard') THEN ' *' ELSE '' END AS family, round(x.r1, 6) + 0e0 AS zero_shot, round(y.r1, 6) + 0e0 AS ours FROM x JOIN y USING (family)
 """)
 def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs side by side by family, those unseen in training marked; the second run's stand-in is recall at 3."""
-    rows = by_family(per_query(spark, sf_dir))
-    a = ranking.identification(rows, ("family",), ks=(1,)).select("family", F.col("r1").alias("zero_shot"))
-    b = ranking.identification(rows, ("family",), ks=(3,)).select("family", F.col("r3").alias("ours"))
+    """Two runs side by side by family, those unseen in training marked: a model of 16 entries and one of all 64."""
+    a, b = (ranking.identification(by_family(run_of(spark, sf_dir, d)), ("family",), ks=(1,)).select("family", F.col("r1").alias(name)) for d, name in ((16, "zero_shot"), (64, "ours")))
     name = F.concat("family", F.when(F.col("family").isin(*specs.HELD_OUT_FAMILIES), " *").otherwise(""))
     return a.join(b, "family").select(name.alias("family"), rounded(F.col("zero_shot")).alias("zero_shot"), rounded(F.col("ours")).alias("ours"))
 
@@ -343,17 +362,27 @@ def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 VEC_SQL = "WITH v AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
-@query(VEC_SQL + ", n AS (SELECT id, v, greatest(sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda p, q: p + q)), 1e-12) AS n FROM v) SELECT id, round(v[1] / n, 6) + 0e0 AS x1, round(v[64] / n, 6) + 0e0 AS x64 FROM n")
+def entries_sql(rows: str, column: str, digits: int = 6) -> str:
+    """One row an entry."""
+    return f"SELECT id, k::BIGINT AS k, round({column}[k], {digits}) + 0e0 AS x FROM (SELECT id, {column}, unnest(range(1, len({column}) + 1)) AS k FROM {rows})"
+
+
+def entries(rows: DataFrame, column: str, digits: int = 6) -> DataFrame:
+    return rows.select("id", F.posexplode(column).alias("k", "x")).select("id", (F.col("k") + 1).cast("bigint").alias("k"), rounded(F.col("x"), digits).alias("x"))
+
+
+NORM_SQL = "greatest(sqrt(list_reduce(list_transform({0}, lambda x: x * x), lambda p, q: p + q)), 1e-12)"
+
+
+@query(VEC_SQL + f", n AS (SELECT id, v, {NORM_SQL.format('v')} AS n FROM v), z AS (SELECT id, list_transform(v, lambda x: x / n) AS z FROM n) " + entries_sql("z", "z"))
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), vectors.l2_normalize("embedding").alias("v"))
-    return v.select("id", rounded(F.col("v")[0]).alias("x1"), rounded(F.col("v")[63]).alias("x64"))
+    return entries(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), vectors.l2_normalize("embedding").alias("v")), "v")
 
 
-@query(VEC_SQL + ", f AS (SELECT id, list_transform(range(1, 65), lambda i: v[i] + v[65 - i]) AS z FROM v), n AS (SELECT id, z, greatest(sqrt(list_reduce(list_transform(z, lambda x: x * x), lambda p, q: p + q)), 1e-12) AS n FROM f) SELECT id, round(z[1] / n, 6) + 0e0 AS x1, round(z[20] / n, 6) + 0e0 AS x20 FROM n")
+@query(VEC_SQL + f", f AS (SELECT id, list_transform(range(1, 65), lambda i: v[i] + v[65 - i]) AS f FROM v), n AS (SELECT id, f, {NORM_SQL.format('f')} AS n FROM f), z AS (SELECT id, list_transform(f, lambda x: x / n) AS z FROM n) " + entries_sql("z", "z"))
 def tta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mirrored view's stand-in is the vector read backwards."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), vectors.merge_views(F.col("embedding"), F.reverse("embedding")).alias("v"))
-    return v.select("id", rounded(F.col("v")[0]).alias("x1"), rounded(F.col("v")[19]).alias("x20"))
+    return entries(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), vectors.merge_views(F.col("embedding"), F.reverse("embedding")).alias("v")), "v")
 
 
 @query(VEC_SQL + " SELECT id, round(pow(list_reduce(list_transform(v, lambda x: pow(greatest(x, 1e-6), 3e0)), lambda p, q: p + q) / 64, 1 / 3e0), 6) + 0e0 AS gem FROM v")
@@ -366,15 +395,38 @@ def patch_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), rounded(vectors.token_mean("embedding", 1)).alias("mean"))
 
 
-@query(VEC_SQL + """
-, y AS (SELECT id, list_reduce(list_transform(range(1, 65), lambda i: v[i] * ((i % 7) - 3) / 10e0), lambda p, q: p + q) + 0.5e0 AS a, list_reduce(list_transform(range(1, 65), lambda i: v[i] * ((i % 5) - 2) / 10e0), lambda p, q: p + q) - 0.25e0 AS b FROM v)
-SELECT id, round((a - 0.1e0) / sqrt(0.04001e0), 5) + 0e0 AS y1, round((b - 0.2e0) / sqrt(0.09001e0), 5) + 0e0 AS y2 FROM y
+HEAD_WIDTHS = (7, 5, 11, 3)
+
+
+@query(VEC_SQL + f"""
+, y AS (SELECT id, [{', '.join(f"(list_reduce(list_transform(range(1, 65), lambda i: v[i] * (((i % {m}) - {m // 2}) / 10e0)), lambda p, q: p + q) + {0.5 - 0.25 * k}e0 - {0.1 * (k + 1):.1f}e0) / sqrt({0.04 * (k + 1) + 1e-5:.5f}e0)" for k, m in enumerate(HEAD_WIDTHS))}] AS y FROM v)
+{entries_sql('y', 'y', 5)}
 """)
 def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two outputs of a linear layer with batch normalisation."""
-    weights = [[((i % m) - m // 2) / 10 for i in range(1, 65)] for m in (7, 5)]
-    y = vectors.linear_head("embedding", weights, [0.5, -0.25], [0.1, 0.2], [0.04, 0.09])
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), y.alias("y")).select("id", rounded(F.col("y")[0], 5).alias("y1"), rounded(F.col("y")[1], 5).alias("y2"))
+    """Outputs of a linear layer with batch normalisation."""
+    n = len(HEAD_WIDTHS)
+    weights = [[((i % m) - m // 2) / 10 for i in range(1, 65)] for m in HEAD_WIDTHS]
+    y = vectors.linear_head("embedding", weights, [0.5 - 0.25 * k for k in range(n)], [round(0.1 * (k + 1), 1) for k in range(n)], [0.04 * (k + 1) for k in range(n)])
+    return entries(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), y.alias("y")), "y", 5)
+
+
+@query("SELECT id, batch_id, slot FROM (SELECT id, (k // 48)::BIGINT AS batch_id, (k % 48)::BIGINT AS slot, k, n FROM (SELECT vec_id::BIGINT AS id, row_number() OVER (ORDER BY md5('3-' || vec_id), vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings)) WHERE k < n // 48 * 48")
+def batch_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one epoch, in its own order."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"))
+    return training.shuffled_batches(rows, "id", 48, 3).select("id", "batch_id", "slot")
+
+
+@query("SELECT (event_id % 12 + 1)::BIGINT AS epoch, round(avg(value), 6) + 0e0 AS loss, count(*)::BIGINT AS n_steps FROM events WHERE value IS NOT NULL GROUP BY 1")
+def epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean step loss of each epoch; an event's value is a step's loss."""
+    steps = table(spark, sf_dir, "events").where("value IS NOT NULL").select((F.col("event_id") % 12 + 1).cast("bigint").alias("epoch"), F.col("value").alias("loss"))
+    return training.epoch_losses(steps).select("epoch", rounded(F.col("loss")).alias("loss"), "n_steps")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('1-' || doc_id), doc_id LIMIT 6")
+def report_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.samples(table(spark, sf_dir, "documents").select("doc_id", "source"), 6, "doc_id", 1)
 
 
 def draw_sql(*parts: str) -> str:
@@ -438,7 +490,98 @@ def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.pairs(designs(spark, sf_dir)).select("kind", "a", "b")
 
 
-@query("SELECT name, gray, bank, backbone FROM (VALUES ('ours', false, 24, 'small'), ('gray', true, 24, 'small'), ('no_bank', false, 0, 'small'), ('large', false, 24, 'large')) t(name, gray, bank, backbone)")
+ABLATIONS = (("ours", False, 24, 64), ("gray", True, 24, 48), ("no_bank", False, 0, 32), ("small", False, 24, 8))
+
+
+@query(ROLES_SQL + ", c(name, gray, bank, dim) AS (VALUES " + ", ".join(f"('{n}', {str(g).lower()}, {b}, {d})" for n, g, b, d in ABLATIONS) + "), " + ", ".join(f"r_{n} AS ({cut_sql(str(d))})" for n, _, _, d in ABLATIONS) + """
+, m AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS name, round(avg((coalesce(first_hit, 999) <= 1)::INT), 6) + 0e0 AS r1, round(avg((coalesce(first_hit, 999) <= 5)::INT), 6) + 0e0 AS r5 FROM r_{n}" for n, *_ in ABLATIONS) + """)
+SELECT name, gray, bank::INT AS bank, dim::INT AS dim, r1, r5, round(r1 - (SELECT r1 FROM m WHERE name = 'ours'), 6) + 0e0 AS against_ours FROM c JOIN m USING (name)
+""")
 def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("ours", False, 24, "small"), ("gray", True, 24, "small"), ("no_bank", False, 0, "small"), ("large", False, 24, "large")]
-    return spark.createDataFrame(rows, "name string, gray boolean, bank int, backbone string")
+    """One row a run: its configuration and its result file, written by the run and read back, against the first run.
+
+    The runs' stand-ins see that many entries of the vectors.
+    """
+    root = f"{checkpoint_root(spark).rstrip('/')}/ablation-{uuid.uuid4().hex}"
+    for name, gray, bank, dim in ABLATIONS:
+        found = ranking.identification(run_of(spark, sf_dir, dim), ks=(1, 5)).first()
+        files.write_document(spark, {"name": name, "config": {"gray": gray, "bank": bank, "dim": dim}, "headline": {"r1": found["r1"], "r5": found["r5"]}}, f"{root}/{name}")
+    rows = spark.read.schema("name string, config struct<gray:boolean,bank:int,dim:int>, headline struct<r1:double,r5:double>").json(f"{root}/*")
+    rows = rows.select("name", "config.*", "headline.*")
+    ours = rows.where("name = 'ours'").select(F.col("r1").alias("__ours"))
+    return rows.crossJoin(F.broadcast(ours)).select("name", "gray", "bank", "dim", rounded(F.col("r1")).alias("r1"), rounded(F.col("r5")).alias("r5"), rounded(rounded(F.col("r1")) - rounded(F.col("__ours"))).alias("against_ours"))  # one row
+
+
+# ---- the whole protocol run over a table of specifications
+
+RUN_SPECS = SPEC_SQL.rsplit("s AS (", 1)[0] + f"""
+dn AS (SELECT label, ord, j + CASE WHEN j >= label THEN 1 ELSE 0 END AS donor FROM (SELECT label, 0 AS ord, {draw_sql("'0'", "'donor'", "'trap'", "label")} % (n - 1) AS j FROM d, n)),
+s AS (
+  SELECT label AS spec_id, 'gallery' AS role, label, NULL AS family, NULL::BIGINT AS donor, -1 AS rnd, 0 AS side FROM d
+  UNION ALL SELECT n + label * 8 + ord, 'p1', label, family, NULL, -1, 1 FROM d, n, f
+  UNION ALL SELECT n * 9 + label, 'trap', label, 'palette_transfer', donor, -1, 1 FROM n, dn
+  UNION ALL SELECT n * 10 + (r * 2 + e) * n + label, 'shared', label, NULL, NULL, r, e FROM d, n, range(3) a(r), range(2) b(e)
+),
+base AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT label FROM embeddings) t WHERE t.label < e.label) AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings e WHERE vec_id = (SELECT min(vec_id) FROM embeddings m WHERE m.label = e.label)),
+z AS (SELECT s.*, list_transform(range(1, 65), lambda i: b.v[i] + 0.8e0 * x.v[i] + 0.9e0 * coalesce(o.v[i], 0e0)) AS raw FROM s JOIN base b ON b.label = s.label
+  JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) x ON x.vec_id = (s.spec_id * 7 + 3) % (SELECT count(*) FROM embeddings) LEFT JOIN base o ON o.label = s.donor),
+vec AS (SELECT * EXCLUDE (raw), list_transform(raw, lambda x: x / {NORM_SQL.format('raw')}) AS vec FROM z),
+rk AS (SELECT q.spec_id AS q, q.role, q.family, q.rnd, q.donor, g.label AS g_label, g.label = q.label AS hit, row_number() OVER (PARTITION BY q.spec_id ORDER BY {dot_sql('q.vec', 'g.vec')} DESC, g.spec_id) AS rank
+  FROM vec q JOIN vec g ON g.rnd = q.rnd AND g.side = 0 AND q.side = 1),
+hi AS (SELECT *, sum(hit::INT) OVER (PARTITION BY q ORDER BY rank) AS hits FROM rk),
+pq AS (SELECT q, role, family, rnd, donor, min(rank) FILTER (hit) AS first_hit, sum(CASE WHEN hit THEN hits::DOUBLE / rank ELSE 0 END) / greatest(sum(hit::INT), 1) AS ap, arg_min(g_label, rank) AS top FROM hi GROUP BY 1, 2, 3, 4, 5),
+mt AS (SELECT CASE WHEN role = 'p1' THEN 'P1' WHEN role = 'trap' THEN 'P2' ELSE 'P3' END AS protocol, rnd,
+    CASE WHEN role = 'trap' THEN 'trap' WHEN role = 'shared' THEN 'shared' ELSE coalesce(family, CASE WHEN grouping(cls) = 0 THEN cls END, 'all') END AS family,
+    avg((first_hit <= 1)::INT) AS r1, avg((first_hit <= 5)::INT) AS r5, avg((first_hit <= 10)::INT) AS r10, avg(ap) AS map, avg((top = donor)::INT) AS trap1, count(*)::DOUBLE AS n_queries
+  FROM (SELECT * REPLACE (CASE WHEN role = 'p1' THEN family END AS family), CASE WHEN role <> 'p1' THEN NULL WHEN family IN ('curves', 'reinhard') THEN 'heldout' ELSE 'train' END AS cls FROM pq)
+  GROUP BY GROUPING SETS ((role, rnd, family), (role, rnd, cls), (role, rnd)) HAVING role = 'p1' OR (grouping(family) = 1 AND grouping(cls) = 1)),
+lm AS (SELECT protocol, family, avg(r1) AS r1, avg(r5) AS r5, avg(r10) AS r10, avg(map) AS map, avg(trap1) AS trap1, avg(n_queries) AS n_queries FROM mt GROUP BY 1, 2),
+t AS (SELECT label, n, {draw_sql("'0'", "'other'", "label", "t")} % (n - 1) AS j, {draw_sql("'0'", "'same'", "label", "t")} % (n - 1) AS i, {draw_sql("'0'", "'family'", "label", "t")} % 8 AS f, {draw_sql("'0'", "'round'", "label", "t")} % 3 AS r FROM d, n, range(2) x(t)),
+o AS (SELECT *, j + CASE WHEN j >= label THEN 1 ELSE 0 END AS other, i + CASE WHEN i >= label THEN 1 ELSE 0 END AS same FROM t),
+pr AS (SELECT 'genuine' AS kind, label AS a, n + label * 8 + f AS b FROM o UNION ALL SELECT 'impostor_random', label, n + other * 8 + f FROM o UNION ALL SELECT 'impostor_samepal', n * 10 + r * 2 * n + label, n * 10 + r * 2 * n + same FROM o),
+ps AS (SELECT kind, kind = 'genuine' AS same, {dot_sql('x.vec', 'y.vec')} AS s FROM pr JOIN vec x ON x.spec_id = a JOIN vec y ON y.spec_id = b),
+vs AS (SELECT 'all' AS family, s, same FROM ps UNION ALL SELECT 'samepalette', s, same FROM ps WHERE kind <> 'impostor_random'),
+c AS (SELECT family, s, count(*) FILTER (same) AS tp, count(*) FILTER (NOT same) AS fp FROM vs GROUP BY 1, 2),
+r AS (SELECT family, row_number() OVER w AS k, s, tp AS own_tp, fp AS own_fp, sum(tp) OVER w AS tp, sum(fp) OVER w AS fp, sum(tp) OVER (PARTITION BY family) AS n_pos, sum(fp) OVER (PARTITION BY family) AS n_neg FROM c WINDOW w AS (PARTITION BY family ORDER BY s DESC)),
+w AS (SELECT *, lead(own_tp) OVER (PARTITION BY family ORDER BY k) AS next_tp, lead(own_fp) OVER (PARTITION BY family ORDER BY k) AS next_fp FROM r),
+x AS (SELECT family, k, s, tp, fp, n_pos, n_neg FROM w WHERE next_tp IS NULL OR next_tp <> own_tp OR next_fp <> own_fp UNION ALL SELECT family, 0, 'inf'::DOUBLE, 0, 0, max(n_pos), max(n_neg) FROM r GROUP BY family),
+e AS (SELECT family, arg_min(struct_pack(eer := ((1 - tp / n_pos::DOUBLE) + fp / n_neg::DOUBLE) / 2, t := s), struct_pack(d := abs((1 - tp / n_pos::DOUBLE) - fp / n_neg::DOUBLE), k := k)) AS m,
+  coalesce(max(tp / n_pos::DOUBLE) FILTER (fp / n_neg::DOUBLE <= 0.01), 0) AS tar_0, coalesce(max(tp / n_pos::DOUBLE) FILTER (fp / n_neg::DOUBLE <= 0.001), 0) AS tar_1 FROM x GROUP BY family),
+au AS (SELECT family, sum(own_fp * (tp - own_tp / 2e0)) / (max(n_pos)::DOUBLE * max(n_neg)) AS auc FROM r GROUP BY family),
+sd AS (SELECT kind, avg(s) AS mean, stddev_pop(s) AS std FROM ps GROUP BY kind),
+l AS (
+  """ + " UNION ALL ".join(f"SELECT protocol, family, '{m}' AS metric, {m} AS value FROM lm" for m in ("r1", "r5", "r10", "map", "n_queries")) + """
+  UNION ALL SELECT protocol, family, 'trap1', trap1 FROM lm WHERE protocol = 'P2'
+  UNION ALL SELECT 'verification', family, 'auc', auc FROM au UNION ALL SELECT 'verification', family, 'eer', m.eer FROM e UNION ALL SELECT 'verification', family, 'threshold', m.t FROM e
+  UNION ALL SELECT 'verification', family, 'tar_0', tar_0 FROM e UNION ALL SELECT 'verification', family, 'tar_1', tar_1 FROM e
+  UNION ALL SELECT 'scores', kind, 'mean', mean FROM sd UNION ALL SELECT 'scores', kind, 'std', std FROM sd
+)
+"""
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All protocols over the specifications of the labels; a specification's vector is its label's first one, noise, and for traps the donor's."""
+    spec = cut(specs.build(designs(spark, sf_dir)))
+    emb = table(spark, sf_dir, "embeddings")
+    first = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
+    base = ingest.with_position(first, "label").select(F.col("pos").alias("label"), "v")
+    noise = emb.select(F.col("vec_id").alias("__noise"), F.col("embedding").alias("z"))
+    trap = F.when(F.col("role") == "trap", F.col("donor_label"))
+    rows = spec.select("spec_id", "label", trap.alias("__donor"), ((F.col("spec_id") * 7 + 3) % emb.count()).alias("__noise")).join(base, "label").join(noise, "__noise")
+    rows = rows.join(base.select(F.col("label").alias("__donor"), F.col("v").alias("o")), "__donor", "left")
+    zero = F.array_repeat(F.lit(0.0), 64)
+    mixed = F.zip_with(F.zip_with("v", "z", lambda a, b: a.cast("double") + 0.8 * b.cast("double")), F.coalesce(F.col("o").cast("array<double>"), zero), lambda a, b: a + 0.9 * b)
+    vecs = rows.select("spec_id", vectors.l2_normalize(mixed).alias("embedding"))
+    return benchmark.protocols(spec, specs.pairs(designs(spark, sf_dir)), vecs).where("protocol <> 'P4'")
+
+
+@query(RUN_SPECS + "SELECT protocol, family, metric, round(value, 6) + 0e0 AS value FROM l")
+def run_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_metrics(spark, sf_dir).select("protocol", "family", "metric", rounded(F.col("value")).alias("value"))
+
+
+@query(RUN_SPECS + "SELECT " + ", ".join(f"round(max(value) FILTER (protocol = '{p}' AND family = '{f}' AND metric = '{m}'), 6) + 0e0 AS {n}" for n, (p, f, m) in benchmark.HEADLINE.items()) + " FROM l")
+def run_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that a report leads with, of the same run."""
+    head = benchmark.headline(run_metrics(spark, sf_dir))
+    return head.select(*(rounded(F.col(c)).alias(c) for c in head.columns))

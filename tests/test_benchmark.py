@@ -44,3 +44,33 @@ def test_reports(spark, tmp_path):
     m = spark.createDataFrame([("p", "s", 0, "train"), ("q", "s", 0, "train"), ("r", "t", 1, "test")], "path string, source string, group int, split string")
     assert tuple(reports.catalog_summary(m).first()) == (3, 2, 1)
     assert {tuple(r) for r in reports.source_by_split(m).collect()} == {("s", 2, 0, 0), ("t", 0, 0, 1)}
+
+
+def test_evaluate_from_a_manifest(spark, tmp_path, capsys):
+    from latticeq import __main__ as cli
+    from latticeq.sources import files
+
+    from .helpers import png
+    from .test_images import pattern
+
+    for k in range(24):
+        png(tmp_path / "in" / f"p{k}.png", pattern(200 + k, 96, 110))
+    png(tmp_path / "in" / "p0_again.png", np.clip(pattern(200, 96, 110).astype(int) + 2, 0, 255).astype(np.uint8))
+    out = str(tmp_path / "work")
+    cli.main(["prepare", "--roots", str(tmp_path / "in"), "--out", out])
+    manifest = files.read_manifest(spark, f"{out}/manifest").collect()
+    assert len(manifest) == 25 and all(r.path.startswith(f"{out}/cache/") for r in manifest)
+    assert {r.path for r in files.read_cache(spark, f"{out}/cache").collect()} == {r.path for r in manifest}
+    # every group is in validation or test, so that both have three designs at least
+    rows = spark.createDataFrame([(k, r.path, r.source, r.path, r.group, "val" if r.group % 2 else "test") for k, r in enumerate(manifest)], "pos bigint, path string, source string, orig string, group bigint, split string")
+    files.write_manifest(rows, f"{out}/sides")
+    capsys.readouterr()
+    cli.main(["evaluate", "--manifest", f"{out}/sides", "--cache", f"{out}/cache", "--size", "32", "--out", f"{out}/result", "--gray"])
+    found = files.read_document(spark, f"{out}/result")
+    assert set(found) == {"model", "split", "val_threshold", "headline", "full"} and found["model"] == "zeroshot_thumbnail_gray" and found["split"] == "test"
+    head = found["headline"]
+    assert 0 <= head["p1_r1"] <= 1 and head["acc"] is not None and head["p4_r1"] == 1.0 and found["full"]["verification"]["all"]["n_genuine"] == 24
+    assert '"p1_r1"' in capsys.readouterr().out
+    cli.main(["efficiency", "--size", "32", "--out", f"{out}/speed"])
+    speed = files.read_document(spark, f"{out}/speed")
+    assert speed["embedding_dim"] == 64 and speed["latency_ms_bs1"] > 0 and speed["embedding_bytes_fp16"] == 128

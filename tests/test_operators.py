@@ -38,6 +38,10 @@ def test_near_pairs_are_not_symmetric_and_lose_none(spark):
     assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
 
 
+def test_keys_grow_with_the_rows():
+    assert [hashing.spare_for(n, 6) for n in (10, 2_000, 100_000, 1 << 40)] == [1, 2, 3, 4]
+
+
 def test_components_chain_loops_nulls_and_empty(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7), (None, 3), (5, 4)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -119,9 +123,15 @@ def test_ranking_ties_and_blocks(spark, monkeypatch):
     rows = {r.q: r for r in ranking.per_query(met).collect()}
     assert rows[9].first_hit == 2 and rows[9].ap == 0.5 and rows[8].first_hit is None and rows[8].ap == 0.0
     assert ranking.identification(ranking.per_query(met)).first()["r10"] is None
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(ranking, "BLOCK_ROWS", 2)
+    in_rows = sorted(map(str, ranking.ranked(q, g).collect()))
+    assert in_rows == sorted(map(str, ranking.per_query(met).collect()))
+    alone = ranking.ranked(g.selectExpr("g AS q", "g_label AS q_label", "g_vec AS q_vec"), g, apart=True).collect()
+    assert {r.q: (r.first_hit, r.n_gallery) for r in alone} == {0: (2, 3), 1: (None, 3), 2: (1, 3), 3: (None, 3)}
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 100)
     assert sorted(map(str, ranking.scores(q, g).collect())) == sorted(map(str, met.collect()))
+    assert sorted(map(str, ranking.ranked(q, g).collect())) == in_rows
+    assert ranking.ranked(q, g.where("false")).count() == 0 or all(r.n_gallery == 0 for r in ranking.ranked(q, g.where("false")).collect())
 
 
 def test_contrastive_loss_equals_numpy(spark):
