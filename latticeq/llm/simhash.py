@@ -51,6 +51,7 @@ CHUNK = 1 << 18
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 BUCKET_BITS = 16
 FEW_LINKS = 16
+BROADCAST_NODES = 200_000
 SLACK = 1e-6
 
 
@@ -172,12 +173,14 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BUCKET_BITS, np.int64)
         for piece in in_slices(batches):
-            copies, prints = [], []
+            copies, prints, sets = [], [], []
             for text in piece.column(2).to_pylist():
                 blocks = list(shingle_hashes(text, width))
                 copies.append(_copy(blocks))
                 prints.append(_signed(_majority(blocks)))
-                seen += np.bincount((_set(blocks) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
+                sets.append(_set(blocks))
+            if sets:
+                seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
             none = pa.nulls(piece.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(copies, pa.int64()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none], schema=schema)
         held = np.flatnonzero(seen)
@@ -230,16 +233,17 @@ def _overlap(n: Column, m: Column, similarity: float) -> Column:
 
 
 def shared_postings(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, node, n, at`` of the prefix lists that can hold a pair, every text once in a list.
+    """``key, node, n, at, early`` of the prefix lists of two texts and more, every text once in a list.
 
     A pair of sizes ``n <= m`` shares at least ``_overlap(n, n)``, so the first shingle that it has in common lies
-    so early in the lesser set that as many are left. A list without such a member holds no pair.
+    so early in the lesser set that as many are left. ``early`` says whether a list has such a member; a pair meets
+    first in a list that has.
     """
     in_order, whole = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
     rows = found.withColumn("before", F.lag("node").over(in_order)).where("before IS NULL OR before <> node")
     early = F.col("n") - F.col("at") >= _overlap(F.col("n"), F.col("n"), similarity)
     rows = rows.withColumn("size", F.count("*").over(whole)).withColumn("early", F.max(early).over(whole))
-    return rows.where("size > 1 AND early").select("key", "node", "n", "at")
+    return rows.where("size > 1").select("key", "node", "n", "at", "early")
 
 
 def shingle_sets(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
@@ -272,7 +276,9 @@ def verified(pairs: DataFrame, texts: DataFrame, own: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(shingle_sets(texts.join(own.join(nodes, "node", "left_semi"), ["doc_id", "tid"]).select("node", "text")))
+    mine = cut(own.join(nodes, "node", "left_semi"))
+    small = mine.count() <= BROADCAST_NODES  # of three numbers each
+    sets = cut(shingle_sets(texts.join(F.broadcast(mine) if small else mine, ["doc_id", "tid"]).select("node", "text")))
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct())
@@ -280,6 +286,23 @@ def verified(pairs: DataFrame, texts: DataFrame, own: DataFrame, similarity: flo
     return found
 
 
+def _left(n: Column, similarity: float) -> Column:
+    """How many shingles of a set stand behind its prefix."""
+    return F.ceil(n * similarity - SLACK) - 1
+
+
+def plausible(pairs: DataFrame, lists: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b`` of ``pairs`` that their whole prefixes do not rule out; ``lists``: ``node, n, keys``, all shared ones.
+
+    Up to where the first of the two prefixes ends, what they have in common is counted; from there on it is at most
+    what that set has left.
+    """
+    left = lists.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("keys").alias("keys1"))
+    met = pairs.join(left, "a").join(lists.withColumnRenamed("node", "b"), "b")
+    both = F.size(F.array_intersect("keys", "keys1")) + F.greatest(_left(F.col("n"), similarity), _left(F.col("n1"), similarity))
+    return met.where(both >= _overlap(F.col("n"), F.col("n1"), similarity)).select("a", "b")
+
+
 def _with_parts(shared: DataFrame, found: DataFrame) -> DataFrame:
     """``shared`` with the component (``part``) of each node under the links ``found``, without lists of one part."""
     rows = shared.join(components(found), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
@@ -347,20 +370,24 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
     common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     made = made.where("bucket IS NULL")
     shared = cut(shared_postings(prefixes(docs, common, text_col, similarity=similarity), similarity))
-    first = _by_fingerprint(made, list_most)
-    texts = _read(docs, "doc_id", text_col)
+    lists = cut(shared.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("key").alias("keys")))  # a text's prefix at most
     own = cut(made.groupBy(F.col("copy").alias("node")).agg(F.min(F.struct("doc_id", "tid")).alias("own")).select("node", "own.*"))
+    texts = _read(docs, "doc_id", text_col)
     release(docs.sparkSession)
-    rows, found, turn = shared.withColumn("part", F.col("node")), None, 0
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        return cut(plausible(pairs, lists, similarity))
+
+    rows, found, turn = shared.where("early").select("key", "node", "n", "at", F.col("node").alias("part")), None, 0
     while True:
         met = _to_leaders(rows, turn, similarity)
-        met = cut(met if turn else met.unionByName(first).distinct())
+        met = tested(met if turn else met.unionByName(_by_fingerprint(made, list_most)).distinct())
         near = verified(met, texts, own, similarity)
-        found, tested, linked, turn = near if found is None else found.unionByName(near), met.count(), near.count(), turn + 1
+        found, linked, turn = near if found is None else found.unionByName(near), near.count(), turn + 1
         rows = _with_parts(rows.drop("part"), found)
         release(docs.sparkSession)
-        if linked * FEW_LINKS <= tested:
-            return found.unionByName(verified(cut(_across(rows, similarity)), texts, own, similarity))
+        if linked * FEW_LINKS <= met.count():
+            return found.unionByName(verified(tested(_across(rows, similarity)), texts, own, similarity))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, list_most: int) -> tuple[DataFrame, DataFrame]:
