@@ -27,8 +27,8 @@ def designs_of(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def embed_specs(spec: DataFrame, designs: DataFrame, cache: DataFrame, embedder: Embedder, size: int = 224, gray: bool = False, views: bool = False) -> DataFrame:
     """``spec_id, embedding`` of every specification; ``cache`` has decoded pictures by path.
 
-    Own and donor picture are joined by path, a batch of rows is rendered and embedded together. ``gray`` hands on
-    gray pictures, ``views`` merges each with its mirror.
+    Own and donor picture are joined by path, as is the donor's palette, which is found once a design. A batch of rows
+    is rendered and embedded together. ``gray`` hands on gray pictures, ``views`` merges each with its mirror.
     """
     known = ("height", "width", "channels", "pixels")
     paths = spec.join(designs, "label").withColumn("path", F.coalesce("photo", "path"))
@@ -36,12 +36,21 @@ def embed_specs(spec: DataFrame, designs: DataFrame, cache: DataFrame, embedder:
     rows = paths.join(cache.select("path", *known), "path")
     rows = rows.join(cache.select(F.col("path").alias("donor_path"), *(F.col(c).alias(f"donor_{c}") for c in known)), "donor_path", "left")
 
+    def colors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shown = [files.pixels(r) for r in files.plain(batch).to_dict("records")]
+            found = images.extract_palettes(shown, np.zeros(len(shown), np.int64))
+            yield pd.DataFrame({"donor_path": batch["path"], "palette": found.reshape(len(shown), -1).tolist()})
+
+    own = cache.select("path", *known).join(designs.select("path"), "path", "left_semi")
+    rows = rows.join(own.mapInPandas(colors, "donor_path string, palette array<double>"), "donor_path", "left")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 some = files.plain(batch.iloc[at : at + BATCH]).to_dict("records")
                 donors = [None if r["donor_pixels"] is None else files.pixels({c: r[f"donor_{c}"] for c in known}) for r in some]
-                shown = images.render(some, [files.pixels(r) for r in some], donors, size)
+                shown = images.render(some, [files.pixels(r) for r in some], donors, size, [r["palette"] for r in some])
                 if gray:
                     shown = np.repeat(images.luma(shown).astype(np.uint8)[..., None], 3, -1)
                 yield pd.DataFrame({"spec_id": [r["spec_id"] for r in some], "embedding": embedded(embedder, list(shown), views).tolist()})

@@ -12,6 +12,12 @@ MIN_SIDE = 96
 LEAST_ROWS = 10
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with underscores before it until no column has that name (ignoring case)."""
+    lower = {c.lower() for c in taken}
+    return ["_" * next(k for k in range(len(lower) + 1) if "_" * k + w.lower() not in lower) + w for w in wanted]
+
+
 def classify(entries: DataFrame, digest: Column, side: Column, usable: Column, order: Column, min_side: int = MIN_SIDE) -> DataFrame:
     """``entries`` plus ``status``.
 
@@ -19,11 +25,11 @@ def classify(entries: DataFrame, digest: Column, side: Column, usable: Column, o
     behind, so their repeats count as bad or small again. The first accepted entry in ``order`` is kept.
     """
     flaw = F.when(~F.coalesce(usable, F.lit(False)), "bad").when(F.coalesce(side, F.lit(0)) < min_side, "small")
-    marked = entries.withColumn("__digest", digest).withColumn("__order", order).withColumn("__flaw", flaw)
-    first = marked.where("__flaw IS NULL").groupBy("__digest").agg(F.min("__order").alias("__first"))
-    joined = marked.join(first, "__digest", "left")
-    status = F.coalesce("__flaw", F.when(F.col("__order") == F.col("__first"), "kept").otherwise("dup"))
-    return joined.withColumn("status", status).select(*entries.columns, "status")
+    key, at, why, least = free_names(entries.columns, "entry_digest", "entry_order", "entry_flaw", "first_order")
+    marked = entries.withColumn(key, digest).withColumn(at, order).withColumn(why, flaw)
+    first = marked.where(F.col(why).isNull()).groupBy(key).agg(F.min(at).alias(least))
+    status = F.coalesce(why, F.when(F.col(at) == F.col(least), "kept").otherwise("dup"))
+    return marked.join(first, key, "left").select(*(F.col(f"`{c}`") for c in entries.columns), status.alias("status"))
 
 
 def counters(classified: DataFrame) -> DataFrame:

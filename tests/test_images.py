@@ -82,6 +82,8 @@ def test_incremental_ingest_keeps_each_content_once(spark, tree, tmp_path):
     assert n == 18  # 19 image names, one of them a copy
     incremental.append_to(incremental.new_files(spark, tree), out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == n
+    incremental.append_to(incremental.new_files(spark, tree), out, f"{mark}-2").awaitTermination()  # all come again, no state is left
+    assert spark.read.parquet(out).count() == n
 
 
 # ---- pixel operations on stacks, against plain loops over single pixels

@@ -68,6 +68,9 @@ def test_classification_only_accepted_rows_leave_a_digest(spark):
     df = spark.createDataFrame(rows, "pos int, digest string, side int, ok boolean")
     got = {r.pos: r.status for r in ingest.classify(df, F.col("digest"), F.col("side"), F.col("ok"), F.col("pos")).collect()}
     assert [got[i] for i in range(6)] == ["small", "small", "bad", "kept", "dup", "bad"]
+    named = df.selectExpr("*", "1 AS entry_digest", "2 AS `a.b`", "3 AS first_order")
+    out = ingest.classify(named, F.col("digest"), F.col("side"), F.col("ok"), F.col("pos"))
+    assert out.columns == [*named.columns, "status"] and {r.pos: r.status for r in out.collect()} == got
     with pytest.raises(ValueError):
         ingest.require_rows(df)
 
