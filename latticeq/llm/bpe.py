@@ -8,7 +8,12 @@ encode, as a pair, to themselves (M. Berglund and B. van der Merwe, "Formalizing
 each half and inside the re-encoded window all adjacent pairs are of that kind, so only the two pairs at the
 window's edges are left to be checked; if one fails, the window doubles. The window is the whole piece at last.
 
-Defined cases: a null or empty text has no tokens; ids pass through, nulls and repeats included.
+Pieces of up to ``LEAF_BYTES`` bytes are leaves of the tree, and encoded by the definition of BPE; longer ones are
+joined from halves.
+
+Defined cases: a null or empty text has no tokens; ids pass through, nulls included, and repeated rows give a row each;
+texts and pieces of any length are encoded whole, in parts of bounded size; null ids to decode give no bytes; other
+columns are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_rows
 
-LEAF_BYTES = 24
+LEAF_BYTES = 12
 NO_RANK = 1 << 60
 CACHE_PIECES = 800_000
 CHUNK_PIECES = 200_000
