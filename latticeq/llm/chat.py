@@ -1,13 +1,15 @@
 """Chat formatting by a finite-state machine over roles and a declarative template.
 
-A conversation's rows, ordered by turn, run through the machine, which notes the first turn that may not follow.
-Each turn becomes three segments (opening mark, text, closing mark), each with its loss flag; the segments' texts
-joined are the training text. Control strings inside texts are broken up by an escape mark, which
+A conversation's rows, ordered by turn, run through the machine. Its moves say where a role leads from a state and
+whether the text that it brings is learned; where no move leads on, the state stays, the first such turn is noted, and
+the template's rule for stray turns says whether the text is learned. Each turn becomes three segments (opening mark,
+text, closing mark), each with its loss flag; the segments' texts joined are the training text. Control strings inside texts are broken up by an escape mark, which
 :func:`read_back` takes out again, so the formatted text alone gives the conversation back.
 
 DataFrame functions only. Defined cases: null roles and texts are empty; turns with equal numbers stand in the
 order of role and text, null numbers first; a null conversation id is a conversation; no rows give no rows; an
-invalid order is reported in ``violation`` and formatted all the same.
+invalid order is reported in ``violation`` and formatted all the same; other columns are not looked at. A conversation
+becomes one row, so its turns meet in one task, however many there are: that is what the format asks for.
 """
 
 from __future__ import annotations
@@ -24,24 +26,24 @@ CONTROL = r"<(?=\||/?s>|/?<?/?SYS>)|\[(?=/?INST\]|/?TOOL_|/?AVAILABLE_TOOLS\])"
 
 @dataclass(frozen=True)
 class Template:
-    """Marks of a turn, the roles whose text is learned, and the machine's moves ``(state, role) -> state``."""
+    """Marks of a turn and the machine: ``(state, role) -> (state, learned)``; ``stray`` are roles learned in any place."""
 
     turn_open: str = "<|im_start|>"
     role_close: str = "\n"
     turn_close: str = "<|im_end|>\n"
-    loss_roles: tuple[str, ...] = ("assistant",)
     start: str = "start"
     final: tuple[str, ...] = ("assistant",)
-    moves: dict[tuple[str, str], str] = field(
+    stray: tuple[str, ...] = ("assistant",)
+    moves: dict[tuple[str, str], tuple[str, bool]] = field(
         default_factory=lambda: {
-            ("start", "system"): "system",
-            ("start", "user"): "user",
-            ("system", "user"): "user",
-            ("user", "assistant"): "assistant",
-            ("assistant", "user"): "user",
-            ("assistant", "tool"): "tool",
-            ("tool", "assistant"): "assistant",
-            ("tool", "tool"): "tool",
+            ("start", "system"): ("system", False),
+            ("start", "user"): ("user", False),
+            ("system", "user"): ("user", False),
+            ("user", "assistant"): ("assistant", True),
+            ("assistant", "user"): ("user", False),
+            ("assistant", "tool"): ("tool", False),
+            ("tool", "assistant"): ("assistant", True),
+            ("tool", "tool"): ("tool", False),
         }
     )
 
@@ -79,20 +81,26 @@ def format_conversations(rows: DataFrame, template: Template = Template(), id_co
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    moves = F.create_map(*(F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\n{role}", to)))
-    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("violation"))
+    moves = F.create_map(*(x for (state, role), (to, learned) in template.moves.items() for x in (F.lit(f"{state}\n{role}"), F.struct(F.lit(to).alias("to"), F.lit("1" if learned else "0").alias("flag")))))
+    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("violation"), F.lit("").alias("flags"))
 
     def step(s: Column, t: Column) -> Column:
-        to = F.try_element_at(moves, F.concat(s["state"], F.lit("\n"), t["role"]))
-        return F.struct(F.coalesce(to, s["state"]).alias("state"), (s["at"] + 1).alias("at"), F.when(s["violation"].isNotNull() | to.isNotNull(), s["violation"]).otherwise(s["at"]).alias("violation"))
+        move = F.try_element_at(moves, F.concat(s["state"], F.lit("\n"), t["role"]))
+        stray = F.when(t["role"].isin(*template.stray), "1").otherwise("0")
+        return F.struct(
+            F.coalesce(move["to"], s["state"]).alias("state"),
+            (s["at"] + 1).alias("at"),
+            F.when(s["violation"].isNotNull() | move.isNotNull(), s["violation"]).otherwise(s["at"]).alias("violation"),
+            F.concat(s["flags"], F.coalesce(move["flag"], stray)).alias("flags"),
+        )
 
     def piece(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
-    def segments(t: Column) -> Column:
+    def segments(t: Column, i: Column) -> Column:
         return F.array(
             piece(F.concat(F.lit(template.turn_open), escape_role(t["role"]), F.lit(template.role_close)), F.lit(False)),
-            piece(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+            piece(escape(t["text"]), F.substring("run.flags", i + 1, F.lit(1)) == "1"),
             piece(F.lit(template.turn_close), F.lit(False)),
         )
 

@@ -303,6 +303,16 @@ def test_chat_machine(spark):
     assert got == {1: (True, None), 2: (False, None), 3: (False, 1), 4: (False, 0), 5: (True, None), 6: (False, 1)}
 
 
+def test_loss_flags_come_from_the_moves(spark):
+    rows = [(1, t, r, f"x{t}") for t, r in enumerate("system user assistant tool assistant assistant user critic".split())]
+    df = spark.createDataFrame(rows, TALK)
+    flags = [s.loss for s in chat.format_conversations(df).first().segments[1::3]]
+    assert flags == [False, False, True, False, True, True, False, False]
+    moves = chat.Template().moves | {("user", "assistant"): ("assistant", False), ("user", "critic"): ("user", True)}
+    own = chat.format_conversations(df, chat.Template(moves=moves, stray=())).first()
+    assert [s.loss for s in own.segments[1::3]] == [False, False, False, False, True, False, False, True] and own.violation == 5
+
+
 def test_op3_sql(spark):
     from ..helpers import SMALL, oracle, rows_of
 
