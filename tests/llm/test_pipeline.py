@@ -112,6 +112,36 @@ def test_large_part_with_strays(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == dict(enumerate(least))
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    from .test_text import PROSE
+
+    words = PROSE.split()
+    other = " ".join(words[::-1])
+    rows = [
+        (1, PROSE, "en", "s", len(PROSE)), (1, PROSE, "en", "s", len(PROSE)), (1, other, "en", "s", 0), (2, PROSE, None, None, None), (None, PROSE, "en", "s", 1), (None, None, None, None, None),
+        (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, " \n\t", "en", "s", 3), (6, "x " * 100_000, "en", "s", 1), (7, f"{other} mail a@b.org now", "en", "s", 2), (8, " ".join(f"w{k % 9973} v{k % 7919}" for k in range(60_000)), "en", "s", 3),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 AS rank", "2 AS kept_id", "3 AS `a.b`", "4 AS c1", "5 AS pii_key", "6 AS length", "7 AS tid")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (9, None, None)], "doc_id bigint, quality int, toxic int")
+    for name, some in (("odd", docs), ("none", docs.where("false"))):
+        sf_dir = str(tmp_path / name)
+        some.write.parquet(f"{sf_dir}/documents.parquet")
+        labels.write.parquet(f"{sf_dir}/labels.parquet")
+        now = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        kept = []
+        for k, (stage, work) in enumerate(corpus_pipeline.STAGES):
+            work(spark, now, sf_dir).write.parquet(f"{sf_dir}/{k}")
+            now = spark.read.parquet(f"{sf_dir}/{k}")
+            assert k == 4 or now.columns == some.columns
+            kept.append(sorted((r.doc_id or 0, (getattr(r, "text", "") or "")[-12:]) for r in now.collect()))
+        if name == "none":
+            assert kept == [[]] * 5
+            continue
+        assert [i for i, _ in kept[0]] == [0, 1, 1, 1, 2, 7, 8] and kept[1] == kept[0]
+        assert kept[2] == sorted([(0, PROSE[-12:]), (1, PROSE[-12:]), (1, other[-12:]), (8, kept[0][-1][1])])  # 7 is near the other text of 1
+        assert kept[3] == kept[2] and {i for i, _ in kept[4]} == {0, 1, 8}
+
+
 def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
