@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -90,6 +90,12 @@ def portable_uniform(*parts: Column | str) -> Column:
     return portable_draw(*parts) / 4294967296.0
 
 
+def bank_sources(spark: SparkSession, n: int, epoch: int, size: int = 24) -> DataFrame:
+    """``bank_id, pos``: for the first half of a bank, which of ``n`` palettes it takes; repeats are allowed."""
+    drawn = spark.range(size // 2 if n else 0).withColumnRenamed("id", "bank_id")
+    return drawn.select("bank_id", (portable_draw(str(10_000 + epoch), "bank", F.col("bank_id")) % max(n, 1)).alias("pos"))
+
+
 def palette_bank(palettes: DataFrame, epoch: int, size: int = 24) -> DataFrame:
     """``bank_id, palette``: an epoch's targets, the first half drawn from real palettes with replacement, the rest made.
 
@@ -97,8 +103,7 @@ def palette_bank(palettes: DataFrame, epoch: int, size: int = 24) -> DataFrame:
     """
     spark, n = palettes.sparkSession, palettes.count()
     real = size // 2 if n else 0
-    drawn = spark.range(real).select(F.col("id").alias("bank_id"), (portable_draw(str(10_000 + epoch), "bank", F.col("id")) % max(n, 1)).alias("__pos"))
-    own = drawn.join(palettes.select(F.col("pos").alias("__pos"), "palette"), "__pos").select("bank_id", "palette")
+    own = bank_sources(spark, n, epoch, size).join(palettes.select("pos", "palette"), "pos").select("bank_id", "palette")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -255,3 +255,25 @@ SELECT doc_id, h, w, (h - 224) // 2 AS top, (w - 224) // 2 AS "left" FROM (SELEC
 def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 1000 + 224).alias("h"), (F.col("doc_id") % 700 + 224).alias("w"))
     return d.select("doc_id", "h", "w", F.expr("(h - 224) div 2").alias("top"), F.expr("(w - 224) div 2").alias("left"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN '/data/a' ELSE '/data/b/versions/2' END AS root FROM pages)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS source, (row_number() OVER (ORDER BY page_id % 2, url, page_id) - 1)::BIGINT AS pos FROM p
+""")
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two roots in (root, path) order, each with its place and its root's source name."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 2).alias("root_ord"))
+    root = F.when(F.col("root_ord") == 0, "/data/a").otherwise("/data/b/versions/2")
+    return ingest.with_position(p.withColumn("source", ingest.source_name(root)), "root_ord", "url", "page_id").select("page_id", "source", "pos")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/gallery/p' || page_id || '.v2.PNG' ELSE '/gallery/d' || page_id % 7 || '/p' || page_id || '.jpg' END AS path FROM pages)
+SELECT page_id, path, CASE WHEN page_id % 3 = 0 THEN 'p' || page_id || '.v2' ELSE 'd' || page_id % 7 END AS label FROM p
+""")
+def gallery_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of gallery files: the folder, or the stem of a file directly in the root."""
+    i = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/gallery/p"), i, F.lit(".v2.PNG"))).otherwise(F.concat(F.lit("/gallery/d"), (F.col("page_id") % 7).cast("string"), F.lit("/p"), i, F.lit(".jpg")))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("label", ingest.folder_label(F.col("path"), "/gallery/"))

@@ -512,6 +512,23 @@ def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(ours)).select("name", "gray", "bank", "dim", rounded(F.col("r1")).alias("r1"), rounded(F.col("r5")).alias("r5"), rounded(rounded(F.col("r1")) - rounded(F.col("__ours"))).alias("against_ours"))  # one row
 
 
+@query(ROLLUP_SQL + "SELECT family AS model, round(avg((coalesce(first_hit, 999) <= 1)::INT), 6) + 0e0 AS r1, count(*)::BIGINT AS n_queries FROM f GROUP BY family")
+def results_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files written by run, and read back as one table with their stems as names."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    found = ranking.identification(by_family(per_query(spark, sf_dir)), ("family",), ks=(1,)).select("family", "r1", "n_queries")
+    files.write_results(found.withColumnRenamed("family", "model"), root)
+    read = spark.read.schema("model string, r1 double, n_queries bigint").json(root)
+    return read.select("model", rounded(F.col("r1")).alias("r1"), "n_queries")
+
+
+@query(f"SELECT b::BIGINT AS bank_id, {draw_sql("'10003'", "'bank'", "b")} % (SELECT count(*) FROM embeddings) AS pos FROM range(12) t(b)")
+def bank_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose palettes the real half of an epoch's bank takes, drawn with replacement."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return training.bank_sources(spark, n, 3, 24)
+
+
 # ---- the whole protocol run over a table of specifications
 
 RUN_SPECS = SPEC_SQL.rsplit("s AS (", 1)[0] + f"""
