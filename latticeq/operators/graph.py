@@ -26,17 +26,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return other.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """``node, component``: the least node reachable, for every node of an edge between two different nodes.
 
-    Edges may repeat and come in either direction; null ends and loops link nothing.
+    Edges may repeat and come in either direction; null ends and loops link nothing. With ``rounds`` it stops after
+    so many: nodes of one component may then have different marks, but a mark still joins linked nodes only.
     """
     edges = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     edges, mark = cut(edges.distinct()), None
-    while True:
+    for _ in range(rounds or 0):
+        edges = cut(_small(_toward_least(edges)))
+    while rounds is None:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % F.lit(1_000_003)), F.lit(0))).first()
         if now == mark or now[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            break
         mark = now
         edges = cut(_small(_toward_least(edges)))
         release(edges.sparkSession)
+    least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = edges.select(F.col("b").alias("node")).distinct().join(least.select("node"), "node", "left_anti")
+    return least.unionByName(roots.withColumn("component", F.col("node")))
