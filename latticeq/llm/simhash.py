@@ -50,7 +50,7 @@ LIST_MOST = 64
 CHUNK = 1 << 18
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 BUCKET_BITS = 16
-FEW_LINKS = 16
+LOOKS, PART_ROUNDS = 64, 2
 BROADCAST_NODES = 200_000
 SLACK = 1e-6
 
@@ -304,8 +304,11 @@ def plausible(pairs: DataFrame, lists: DataFrame, similarity: float = SIMILARITY
 
 
 def _with_parts(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``shared`` with the component (``part``) of each node under the links ``found``, without lists of one part."""
-    rows = shared.join(components(found), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+    """``shared`` with the part of each node under the links ``found``, without lists of one part.
+
+    Nodes of one part are linked; nodes of different ones may be, which costs a look more.
+    """
+    rows = shared.join(components(found, rounds=PART_ROUNDS), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("part"))
     mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     return cut(rows.join(mixed.select("key"), "key", "left_semi"))
 
@@ -347,10 +350,18 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
     return _met(one, rows, similarity)
 
 
+def _looks(rows: DataFrame, similarity: float) -> int:
+    """A bound on the pairs that :func:`_across` finds: one of a pair has its place early, and parts differ."""
+    early = (F.col("n") - F.col("at") >= _overlap(F.col("n"), F.col("n"), similarity)).cast("bigint")
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum(early).alias("early"))
+    lists = parts.groupBy("key").agg((F.sum("n") * F.sum("early") - F.sum(F.col("n") * F.col("early"))).alias("looks"))
+    return lists.agg(F.sum("looks")).first()[0] or 0
+
+
 def _by_fingerprint(made: DataFrame, list_most: int) -> DataFrame:
-    """``a, b``: texts and the least one of their SimHash component."""
+    """``a, b``: texts and the least one of those that the SimHash index joins them with."""
     nodes = cut(made.select(F.col("copy").alias("a"), "fp").distinct())
-    found = components(links(nodes.select("fp").distinct(), list_most))
+    found = components(links(nodes.select("fp").distinct(), list_most), rounds=PART_ROUNDS)
     rows = nodes.join(found, F.col("fp") == F.col("node"), "left").select("a", F.coalesce("component", "fp").alias("group"))
     least = rows.groupBy("group").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(least, "group").where("a <> b").select("a", "b")
@@ -361,7 +372,7 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
 
     ``made`` has the rows of :func:`sketches`, ``docs`` the texts. Links come in three steps, each verified on whole
     shingle sets: (1) the components of the SimHash index; (2) in each list of the prefix filter, the members to the
-    list's leader, for as many turns as find many links; (3) all pairs of a list that are in different components by
+    list's leader, for as many turns as find links and leave step 3 much to look at; (3) all pairs of a list that are in different components by
     then and that sizes and places cannot rule out. Steps 1 and 2 only spare step 3 the pairs of large groups: the
     prefix filter alone misses no pair, and no list of any length is cut.
     """
@@ -378,15 +389,16 @@ def similar_links(docs: DataFrame, made: DataFrame, text_col: str = "text", list
     def tested(pairs: DataFrame) -> DataFrame:
         return cut(plausible(pairs, lists, similarity))
 
+    size = shared.count()
     rows, found, turn = shared.where("early").select("key", "node", "n", "at", F.col("node").alias("part")), None, 0
     while True:
         met = _to_leaders(rows, turn, similarity)
         met = tested(met if turn else met.unionByName(_by_fingerprint(made, list_most)).distinct())
         near = verified(met, texts, own, similarity)
-        found, linked, turn = near if found is None else found.unionByName(near), near.count(), turn + 1
+        found, turn = near if found is None else found.unionByName(near), turn + 1
         rows = _with_parts(rows.drop("part"), found)
         release(docs.sparkSession)
-        if linked * FEW_LINKS <= met.count():
+        if _looks(rows, similarity) <= LOOKS * size or near.isEmpty():
             return found.unionByName(verified(tested(_across(rows, similarity)), texts, own, similarity))
 
 
