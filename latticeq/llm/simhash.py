@@ -47,6 +47,7 @@ BYTES, TAKEN = 8, 5
 LISTS = tuple(combinations(range(BYTES), TAKEN))
 LEAST_LISTS = comb(BYTES - MOST_BITS, TAKEN)
 LIST_MOST = 64
+OFTEN = 10_000
 CHUNK = 1 << 18
 SIMILARITY, SIMILAR_WIDTH = 0.8, 5
 BUCKET_BITS = 16
@@ -135,13 +136,16 @@ def links(prints: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, list_most: int = LIST_MOST) -> DataFrame:
     """``doc_id, fp, component_id`` of each row: the smallest doc_id reachable over links, itself included."""
     made = cut(fingerprints(docs, id_col, text_col, width))
-    prints = cut(made.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(prints, list_most)).withColumnRenamed("node", "fp")
+    prints = cut(made.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    found = components(links(prints.select("fp"), list_most)).withColumnRenamed("node", "fp")
     least = prints.join(found, "fp").groupBy("component").agg(F.min("node").alias("least"))
     linked = found.join(least, "component").select("fp", "least")
-    classes = prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"))
-    joined = made.join(classes, "fp", "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    often = F.col("rows") * OFTEN > made.count()  # of at most so many fingerprints, the copies of a text among them
+    classes = cut(prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "node").alias("component_id"), often.alias("often")))
+    met = made.join(F.broadcast(classes.where("often").select("fp", F.col("component_id").alias("common_id"))), "fp", "left")
+    rest = met.where("common_id IS NULL").join(classes.where("NOT often").select("fp", "component_id"), "fp", "left")
+    met = met.where("common_id IS NOT NULL").withColumn("component_id", F.col("common_id"))
+    return met.unionByName(rest).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def _copy(blocks: list[np.ndarray]) -> int:
